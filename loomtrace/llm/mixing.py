@@ -33,7 +33,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, slopes=SLOPES, max_epochs:
 
     Targets share the sum of all sizes by weight; none is above max_epochs times its source, and
     what is cut off goes to the others by weight. With ratio r = cap / weight, the cut sources are
-    the first of the order by r, so one running sum finds the level instead of an iteration.
+    the first of the order by r. Cutting one too many lowers the level, so the level is the largest
+    of those that are consistent: running sums find it, no iteration does.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     ranked = per.withColumn("k", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1)
@@ -48,7 +49,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, slopes=SLOPES, max_epochs:
         .withColumn("rest", F.sum("weight").over(order.rowsBetween(W.currentRow, W.unboundedFollowing)))
         .withColumn("all", F.sum("source_size").over(W.partitionBy()))
         .withColumn("level", (F.col("all") - F.col("cut")) / F.col("rest"))
-        .withColumn("lambda", F.min(F.when(F.col("level") <= F.col("r"), F.col("level"))).over(W.partitionBy()))
+        .withColumn("lambda", F.max(F.when(F.col("level") <= F.col("r"), F.col("level"))).over(W.partitionBy()))
     )
     target = F.least(cap.cast("double"), F.col("weight") * F.coalesce("lambda", F.lit(0.0)))
     return level.select("source", "source_size", "weight", "slope", target.alias("target"))
@@ -112,7 +113,7 @@ w AS (SELECT source, source_size, m + 1 AS weight, CASE m WHEN 0 THEN 0.5::DOUBL
              source_size * 3 / (m + 1)::DOUBLE AS r FROM k),
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(source_size * 3) OVER (ORDER BY r, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
              / (sum(weight) OVER (ORDER BY r, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS lev FROM w),
-t AS (SELECT *, least((source_size * 3)::DOUBLE, weight * (min(CASE WHEN lev <= r THEN lev END) OVER ())) AS target FROM l),
+t AS (SELECT *, least((source_size * 3)::DOUBLE, weight * (max(CASE WHEN lev <= r THEN lev END) OVER ())) AS target FROM l),
 c AS (SELECT s.doc_id, s.size, t.source_size, t.target, t.b, floor(t.target + 0.5)::BIGINT AS d,
              (sum(s.size) OVER (PARTITION BY s.source ORDER BY s.h, s.doc_id, s.size ROWS UNBOUNDED PRECEDING) - s.size)::BIGINT AS start
       FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
@@ -120,6 +121,6 @@ x AS (SELECT *, greatest(0, least(size, d - start)) + greatest(0, least(size, d
              least(1.0::DOUBLE, start / target) AS c FROM c)
 SELECT doc_id, size, source_size, target, taken::BIGINT AS taken,
        CASE WHEN taken > 0 THEN ceil(taken / size)::BIGINT ELSE 0 END AS copies,
-       CASE WHEN taken > 0 THEN round(CASE WHEN b = 0 THEN c ELSE ((1 + b) - sqrt((1 + b) * (1 + b) - 4 * b * c)) / (2 * b) END, 9) END AS position
+       CASE WHEN taken > 0 THEN round(CASE WHEN b = 0 THEN c ELSE ((1 + b) - sqrt((1 + b) * (1 + b) - 4 * b * c)) / (2 * b) END, 9) + 0.0 END AS position
 FROM x
 """
