@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words of a window, and words between the starts of two windows.
 WIDTH, STRIDE = 24, 12
@@ -325,5 +326,4 @@ def score(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
             yield pdf.assign(score=1 / (1 + np.exp(-np.clip(model.scale * top.astype(float) + model.shift, -30, 30))))
 
     base = docs.drop("score")
-    schema = base.schema.add("score", "double")
-    return base.mapInPandas(run, schema)
+    return base.mapInPandas(run, T.StructType([*base.schema.fields, T.StructField("score", T.DoubleType())]))
