@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm import jaccard, mixing, rules, secrets, toxicity
+from loomtrace.llm import jaccard, mixing, pieces, rules, secrets, toxicity
 from loomtrace.llm._common import table
 
 
@@ -26,6 +26,12 @@ def op7_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.in_training_order(mixing.mix(table(spark, sf_dir, "documents")).drop("source"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(pieces.default_model(), "rb") as f:  # the vocabulary is a file of this machine, not of the input
+        model = f.read()
+    return pieces.encode(table(spark, sf_dir, "documents"), model)
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -36,5 +42,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op5_jaccard_join, op7_mix_to_weights, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op3_sentencepiece, op5_jaccard_join, op7_mix_to_weights, op9_toxicity)}
 ORACLES = {"op7_mix_to_weights": mixing.ORACLE}
