@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm import jaccard, mixing, pieces, rules, secrets, toxicity
+from loomtrace.llm import jaccard, mixing, pieces, rules, secrets, substrings, toxicity
 from loomtrace.llm._common import table
 
 
@@ -42,5 +42,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op3_sentencepiece, op5_jaccard_join, op7_mix_to_weights, op9_toxicity)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op3_sentencepiece, op5_jaccard_join, op7_mix_to_weights, op9_toxicity, op10_suffix_dedup)}
 ORACLES = {"op7_mix_to_weights": mixing.ORACLE}
