@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm import jaccard, mixing, pieces, rules, secrets, substrings, toxicity
+from loomtrace.llm import imatch, jaccard, mixing, pieces, rules, secrets, substrings, toxicity
 from loomtrace.llm._common import table
 
 
@@ -36,6 +36,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op8_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -46,5 +50,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op3_sentencepiece, op5_jaccard_join, op7_mix_to_weights, op9_toxicity, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op3_sentencepiece, op5_jaccard_join, op7_mix_to_weights, op8_imatch_fingerprints, op9_toxicity, op10_suffix_dedup)}
 ORACLES = {"op7_mix_to_weights": mixing.ORACLE}
