@@ -13,7 +13,7 @@ with more rare shingles come first (a counting table of fixed size says which ar
 passages that many documents share do not bring them together.
 
 Components are exact without all pairs: copies are one class; each word's documents are first
-linked to its least one; only then do pairs that still lie in different components meet.
+linked to its hub; only then do pairs that still lie in different components meet.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ COUNT_BITS, CHUNKS = 20, 64
 #: Shingles per sketch word, and words of the bit sketch.
 PER_WORD, BIT_WORDS = 3, 16
 #: Distinct words whose hashes a task keeps at once.
-CACHE = 1_000_000
+CACHE = 300_000
 #: Ids that a broadcast may hold; beyond it the same join shuffles.
 BROADCAST_IDS = 200_000
 GROWTH = 1.5
@@ -196,13 +196,17 @@ def _within(limit: Threshold, d: Column, total: Column) -> Column:
     return (limit.den + limit.num) * d <= (limit.den - limit.num) * total
 
 
+def _may_link(limit: Threshold) -> Column:
+    """Whether the sizes and bit sketches of the sides a and b allow a link."""
+    differ = sum((F.bit_count(F.get("sa", k).bitwiseXOR(F.get("sb", k))) for k in range(1, BIT_WORDS)), F.bit_count(F.get("sa", 0).bitwiseXOR(F.get("sb", 0))))
+    total = F.col("na") + F.col("nb")
+    return _within(limit, F.abs(F.col("na") - F.col("nb")), total) & _within(limit, differ, total)
+
+
 def _survivors(pairs: DataFrame, info: DataFrame, limit: Threshold) -> DataFrame:
     """Pairs (a, b) whose sizes and bit sketches allow a link."""
     side = lambda x: info.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"s{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    differ = sum((F.bit_count(F.get("sa", k).bitwiseXOR(F.get("sb", k))) for k in range(1, BIT_WORDS)), F.bit_count(F.get("sa", 0).bitwiseXOR(F.get("sb", 0))))
-    total = F.col("na") + F.col("nb")
-    return both.filter(_within(limit, F.abs(F.col("na") - F.col("nb")), total) & _within(limit, differ, total)).select("a", "b").distinct()
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(_may_link(limit)).select("a", "b").distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, text: str, k: int, limit: Threshold) -> DataFrame:
@@ -247,19 +251,23 @@ def jaccard_components(docs: DataFrame, text: str = "text", k: int = 4, num: int
     info = told.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "sig", "bits").dropDuplicates(["doc_id", "sig"])
     first = info.groupBy("n", "sig").agg(F.min("doc_id").alias("rep"))
     rep = stored(info.select("doc_id", "n", "sig").join(first, ["n", "sig"]).select("doc_id", "rep"), "copies")
-    reps = info.join(rep.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    reps = info.join(rep.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")  # all texts of an id
     links = rep.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
     shown = told.filter("doc_id IS NOT NULL").select("doc_id", F.explode("keys").alias("key"))
-    shared = shown.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")).filter("c > 1").select("key", "least")
-    met = stored(shown.join(shared, "key").join(rep, "doc_id").select("key", "rep", "least"), "met")
-    least = rep.select(F.col("doc_id").alias("least"), F.col("rep").alias("b"))
-    stars = met.select(F.col("rep").alias("a"), "least").distinct().join(least, "least").filter("a <> b")
-    stars = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    stars = stored(_survivors(stars, reps, limit), "stars")
-
-    # each document against its least candidate, then the stars that are still apart
-    near = stars.groupBy("a").agg(F.min("b").alias("b"))
+    shared = shown.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    met = stored(shown.join(shared, "key").join(rep, "doc_id").groupBy("key", "rep").agg(F.max("c").alias("c")), "met")
+    # the hub of a word is its document that shares most words with most others: the text that
+    # edited copies stem from, if it is there, is nearer to each copy than the copies are to each other
+    weight = met.groupBy("rep").agg(F.sum("c").alias("w"))
+    hubs = met.join(weight, "rep").groupBy("key").agg(F.max(F.struct("w", (-F.col("rep")).alias("m"))).alias("hub"))
+    stars = met.select("key", F.col("rep").alias("a")).join(hubs, "key").select("a", (-F.col("hub.m")).alias("b"), F.col("hub.w").alias("w")).filter("a <> b").distinct()
+    kept = _survivors(stars.select("a", "b"), reps, limit)
+    stars = stored(stars.join(kept, ["a", "b"]), "stars")
+
+    # each document against its heaviest hub, then the stars that are still apart
+    near = stars.groupBy("a").agg(F.max_by("b", F.struct("w", (-F.col("b")).alias("m"))).alias("b"))
+    stars = stars.select("a", "b")
     links = stored(links.unionByName(_verified(near, docs, text, k, limit)), "links")
     own = components(links)
 
@@ -273,14 +281,15 @@ def jaccard_components(docs: DataFrame, text: str = "text", k: int = 4, num: int
         own = components(links)
 
     # every other pair that meets on a word and is still apart
-    placed = met.select("key", "rep").distinct().join(own.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
+    placed = met.select("key", "rep").join(own.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
     mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key")
-    placed = stored(placed.join(mixed, "key"), "placed")
+    sized = info.select(F.col("doc_id").alias("rep"), "n", "bits").dropDuplicates(["rep", "bits"])
+    placed = stored(placed.join(mixed, "key").join(sized, "rep"), "placed")
     if not placed.isEmpty():
-        x, y = placed.select("key", F.col("rep").alias("a"), F.col("c").alias("ca")), placed.select("key", F.col("rep").alias("b"), F.col("c").alias("cb"))
-        pairs = x.join(y, "key").filter("ca <> cb AND a > b").select("a", "b").distinct()
-        pairs = pairs.join(stars, ["a", "b"], "left_anti")
-        pairs = stored(_survivors(pairs, reps, limit), "cross")
+        # sketches are compared inside the join, so only pairs that may link leave it
+        side = lambda x: placed.select("key", F.col("rep").alias(x), F.col("c").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"s{x}"))
+        pairs = side("a").join(side("b"), "key").filter(F.expr("ca <> cb AND a > b") & _may_link(limit)).select("a", "b").distinct()
+        pairs = stored(pairs.join(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "cross")
         if not pairs.isEmpty():
             links = stored(links.unionByName(_verified(pairs, docs, text, k, limit)), "links")
             own = components(links)
