@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -172,24 +173,26 @@ def _describe(docs: DataFrame, text: str, k: int, limit: Threshold) -> DataFrame
     """(doc_id, n, sig, bits, keys): a task's second and later copies of a set show no keys."""
     frequent = docs.sparkSession.sparkContext.broadcast(_counts(docs, text, k))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, cache, seen = frequent.value, WordHash(), set()
-        for pdf in batches:
-            for i in range(0, len(pdf), 2000):
-                part = pdf.iloc[i : i + 2000]
+        for whole in batches:
+            for i in range(0, whole.num_rows, 2000):
+                batch = whole.slice(i, 2000)
                 n, sig, bits, keys = [], [], [], []
-                for t in part[text]:
+                for t in batch.column(1).to_pylist():
                     s = shingles(t, k, cache)
                     n.append(len(s))
                     sig.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    bits.append(_bit_sketch(s) if len(s) else np.zeros(0, np.int64))
                     first = len(s) and sig[-1] not in seen
                     if len(s):
                         seen.add(sig[-1])
-                    bits.append(_bit_sketch(s).tolist() if len(s) else [])
-                    keys.append(np.concatenate(sketch_keys(s, (~heavy[(s >> U(64 - COUNT_BITS)).astype(np.int64)]).astype(np.int64), limit)).view(np.int64) if first else np.zeros(0, np.int64))
-                yield pd.DataFrame({"doc_id": part["doc_id"], "n": n, "sig": sig, "bits": bits, "keys": keys})
+                    rare = (~heavy[(s >> U(64 - COUNT_BITS)).astype(np.int64)]).astype(np.int64)
+                    keys.append(np.concatenate(sketch_keys(s, rare, limit)).view(np.int64) if first else np.zeros(0, np.int64))
+                lists = lambda x: pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)]).astype(np.int32), np.concatenate(x))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), lists(bits), lists(keys)], ["doc_id", "n", "sig", "bits", "keys"])
 
-    return docs.select("doc_id", text).mapInPandas(run, "doc_id long, n long, sig binary, bits array<long>, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, n long, sig binary, bits array<long>, keys array<long>")
 
 
 def _within(limit: Threshold, d: Column, total: Column) -> Column:

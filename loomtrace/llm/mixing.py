@@ -56,13 +56,13 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, slopes=SLOPES, max_epochs:
 
 
 def mix(docs: DataFrame, size: Column | None = None, partial: bool = True, weights=WEIGHTS, slopes=SLOPES, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """One row per document (doc_id, source, size, source_size, target, taken, copies, position).
+    """One row per document (doc_id, source, size, source_size, target, taken, copies, position, positions).
 
     Documents of a source stand in the order of the MD5 of their id and are taken round after
     round until the demand is met. partial: the last copy may be cut to the demanded words; else
     whole copies are taken, a copy if its middle lies within the demand. taken is in words,
-    copies counts (partial) copies, position is the training time in [0, 1] of the first copy
-    (null if nothing is taken).
+    copies counts (partial) copies, positions are their training times in [0, 1], and position is
+    the first of them (null if nothing is taken).
 
     Null text: size 0, never taken. Null source: a source of its own, ranked last. Repeated rows
     count each for itself. An empty table gives an empty one. Other columns are ignored.
@@ -82,13 +82,17 @@ def mix(docs: DataFrame, size: Column | None = None, partial: bool = True, weigh
         plan, F.expr("source <=> p_source AND bucket = p_bucket"))
     start = F.col("before") + F.col("run")
     took = [_taken(start + e * F.col("source_size"), F.col("size"), F.col("target"), partial) for e in range(max_epochs)]
-    b, c = F.col("slope"), F.least(F.lit(1.0), start / F.col("target"))
-    at = F.when(b == 0, c).otherwise(((1 + b) - F.sqrt((1 + b) * (1 + b) - 4 * b * c)) / (2 * b))
-    out = rows.select("doc_id", "source", "size", "source_size", "target", sum(took[1:], took[0]).alias("taken"), F.round(at, 9).alias("at"))
-    copies = F.ceil(F.col("taken") / F.col("size"))
+    b = F.col("slope")
+
+    def at(demand: Column) -> Column:
+        c = F.least(F.lit(1.0), demand / F.col("target"))
+        return F.round(F.when(b == 0, c).otherwise(((1 + b) - F.sqrt((1 + b) * (1 + b) - 4 * b * c)) / (2 * b)), 9)
+
+    places = F.array_compact(F.array(*[F.when(t > 0, at(start + e * F.col("source_size"))) for e, t in enumerate(took)]))
+    out = rows.select("doc_id", "source", "size", "source_size", "target", sum(took[1:], took[0]).alias("taken"), places.alias("positions"))
     return out.select(
         "doc_id", "source", "size", "source_size", "target", "taken",
-        F.when(F.col("taken") > 0, copies).otherwise(0).cast("long").alias("copies"), F.when(F.col("taken") > 0, F.col("at")).alias("position"))
+        F.size("positions").cast("long").alias("copies"), F.get("positions", F.lit(0)).alias("position"), "positions")
 
 
 def _taken(start: Column, size: Column, target: Column, partial: bool) -> Column:
@@ -99,6 +103,15 @@ def _taken(start: Column, size: Column, target: Column, partial: bool) -> Column
     return F.when((size > 0) & (start + size / 2 <= demand), size).otherwise(0).cast("long")
 
 
+def copies_in_order(docs: DataFrame, **options) -> DataFrame:
+    """docs with each row as often as the mix takes it, sorted by range of training position.
+
+    Rows that share an id share what the mix takes of their first such row; rows without an id go.
+    """
+    plan = mix(docs, partial=False, **options).filter("copies > 0").groupBy("doc_id").agg(F.first("positions").alias("positions"))
+    return docs.join(plan, "doc_id").withColumn("position", F.explode("positions")).orderBy("position", "doc_id").select(*docs.columns)
+
+
 def in_training_order(df: DataFrame) -> DataFrame:
     """Sort by range of the position; what is not taken comes last."""
     return df.orderBy(F.col("position").asc_nulls_last(), "doc_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm import imatch, jaccard, mixing, pieces, rules, secrets, substrings, toxicity
+from loomtrace.llm import imatch, jaccard, licenses, mixing, pieces, rules, secrets, substrings, toxicity, urls
 from loomtrace.llm._common import table
 
 
@@ -22,8 +22,13 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         secrets.digest(F.col("spans")).alias("spans"))
 
 
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = urls.dated(table(spark, sf_dir, "pages"))
+    return urls.filter_captures(pages, urls.list_from_hosts(pages)).select("page_id", "url", "host", F.col("fetched").cast("string").alias("fetched"), "entry", "category", "blocked")
+
+
 def op7_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.in_training_order(mixing.mix(table(spark, sf_dir, "documents")).drop("source"))
+    return mixing.in_training_order(mixing.mix(table(spark, sf_dir, "documents")).drop("source", "positions"))
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +37,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), model)
 
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.train())
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -50,5 +59,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op3_sentencepiece, op5_jaccard_join, op7_mix_to_weights, op8_imatch_fingerprints, op9_toxicity, op10_suffix_dedup)}
-ORACLES = {"op7_mix_to_weights": mixing.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op3_sentencepiece, op4_license_scans, op5_jaccard_join, op6_url_filters, op7_mix_to_weights, op8_imatch_fingerprints, op9_toxicity, op10_suffix_dedup)}
+ORACLES = {"op6_url_filters": urls.ORACLE, "op7_mix_to_weights": mixing.ORACLE}

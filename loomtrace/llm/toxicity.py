@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -308,11 +308,11 @@ def score(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
     """
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         cache = Inputs(model)
-        for pdf in batches:
-            texts, out, i = list(pdf[text]), [], 0
+        for batch in batches:
+            texts, out, i = batch.column(text).to_pylist(), [], 0
             while i < len(texts):
                 j, chars = i, 0
                 while j < len(texts) and (j == i or chars + len(texts[j] or "") < 1_500_000):
@@ -323,7 +323,8 @@ def score(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
                 out.append(worst(model, texts[i:j], cache)[0])
                 i = j
             top = np.concatenate(out) if out else np.zeros(0)
-            yield pdf.assign(score=1 / (1 + np.exp(-np.clip(model.scale * top.astype(float) + model.shift, -30, 30))))
+            chance = 1 / (1 + np.exp(-np.clip(model.scale * top.astype(float) + model.shift, -30, 30)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chance, pa.float64())], [*batch.schema.names, "score"])
 
     base = docs.drop("score")
-    return base.mapInPandas(run, T.StructType([*base.schema.fields, T.StructField("score", T.DoubleType())]))
+    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField("score", T.DoubleType())]))
