@@ -32,8 +32,8 @@ from loomtrace.llm._common import stored
 U = np.uint64
 #: Bytes taken together; a longer text is taken alone.
 BLOCK = 1 << 20
-#: Rows that a broadcast side may have; beyond it the same join shuffles.
-BROADCAST_ROWS = 200_000
+#: Rows, and spans in them, that a broadcast side may have; beyond it the same join shuffles.
+BROADCAST_ROWS, BROADCAST_SPANS = 200_000, 1_000_000
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 _POWERS: dict[str, np.ndarray] = {"up": np.ones(1, U), "down": np.ones(1, U)}
@@ -157,6 +157,16 @@ def _window_rows(q: int):
     return run
 
 
+def _merge_rows(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("lo", pa.int64()), ("more", pa.int64())]))
+        for batch in batches:
+            out = [[{"lo": a, "more": b - a - length} for a, b in _merged(x, length)] for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["rid", "spans"])
+
+    return run
+
+
 def _cut_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,8 +198,9 @@ def _merged(spans: list[dict], length: int) -> list[tuple[int, int]]:
 
 
 def _side(df: DataFrame) -> DataFrame:
-    """df as the smaller side of a join: broadcast while its checked row count is small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """df(rid, spans) as the smaller side of a join: broadcast while its checked size is small."""
+    n = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("spans")).first()
+    return F.broadcast(df) if n["rows"] <= BROADCAST_ROWS and n["spans"] <= BROADCAST_SPANS else df
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200) -> DataFrame:
@@ -228,6 +239,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200) -> Da
     copied = same.groupBy("sha").agg(F.count("*").alias("c")).filter("c > 1").select("sha")
     copies = same.join(copied, "sha").select("rid", F.lit(0).cast("long").alias("lo"), (F.col("n") - length).alias("more")).distinct()
 
-    spans = stored(whole.unionByName(single).unionByName(copies).groupBy("rid").agg(F.collect_set(F.struct("lo", "more")).alias("spans")), "repeats")
+    every = whole.unionByName(single).unionByName(copies).groupBy("rid").agg(F.collect_list(F.struct("lo", "more")).alias("spans"))
+    spans = stored(every.mapInArrow(_merge_rows(length), "rid long, spans array<struct<lo:long,more:long>>"), "repeats")
     return rows.join(_side(spans), "rid", "left").select("doc_id", "text", "spans").mapInArrow(
         _cut_rows(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
