@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.operators import cases, declare, objects
+from loomtrace.operators import cases, declare, negative, objects
 from loomtrace.plans.declare import Arc, Label
 from loomtrace.sources.testdata import TRADE_SQL, dialog_log, trade_log, user_day_log, user_log
 
@@ -308,3 +308,64 @@ def _arcs_sql(arcs: list[Arc]) -> str:
 @query(_arcs_sql(ARCS), True)
 def declare_check(spark: SparkSession, d: str) -> DataFrame:
     return declare.check(trade_log(spark, d), ARCS)
+
+
+@query()
+def declare_discover(spark: SparkSession, d: str) -> DataFrame:
+    arcs = declare.discover(trade_log(spark, d), declare.Options(activities=("place", "ship_A", "ship_R"), reduction="lossless"))
+    return _arc_rows(spark, arcs)
+
+
+def _arc_rows(spark: SparkSession, arcs: list[Arc]) -> DataFrame:
+    return spark.createDataFrame([(a.source, a.target, a.arrow, a.label.text(), a.text()) for a in arcs], "source string, target string, arrow string, label string, text string")
+
+
+NEGATIVE = [
+    Arc("place", "ship_A", "EP", Label.of(any=["order"]), 0, 0),
+    Arc("ship_A", "ship_R", "AS", Label.of(any=["part"]), 0, 0),
+    Arc("ship_A", "ship_R", "EF", Label.of(all=["part"]), 0, 0),
+    Arc("ship_N", "place", "EF", Label.of(any=["order"]), 0, 0),
+    Arc("ship_R", "ship_A", "EF", Label.of(any=["order"], all=["part"]), 0, 0),
+]
+
+
+def _evidence_sql() -> str:
+    parts = []
+    for k, a in enumerate(NEGATIVE):
+        time = {"EF": "f.ts > e.ts", "EP": "f.ts < e.ts", "AS": "true"}[a.arrow]
+        hit = " AND ".join([f"f.ev_type = '{a.target}'", time, *(f"list_has_any(os.os, q_{t}.os)" for t in a.label.at(1)), *(f"list_has_all(os.os, q_{t}.os)" for t in a.label.at(3))])
+        seed = (a.label.at(1) or a.label.at(3))[0]
+        sets = "".join(f" JOIN sets q_{t} ON q_{t}.ev_id = e.ev_id AND q_{t}.ob_type = '{t}'" for t, _ in a.label)
+        bad = f"SELECT DISTINCT e.ev_id FROM ev e{sets} JOIN d s ON s.ev_id = e.ev_id AND s.ob_type = '{seed}' JOIN d f ON f.ob_id = s.ob_id JOIN objs os ON os.ev_id = f.ev_id WHERE e.ev_type = '{a.source}' AND {hit}"
+        need = " AND ".join(f"coalesce((SELECT max(len(x.os)) FROM sets x JOIN ev f ON f.ev_id = x.ev_id WHERE f.ev_type = '{a.target}' AND x.ob_type = '{t}' AND {time}), 0) >= {f'len(q_{t}.os)' if v == 3 else '1'}" for t, v in a.label)
+        ok = f"SELECT e.ev_id FROM ev e{sets} WHERE e.ev_type = '{a.source}' AND {need}"
+        parts.append(f"SELECT {k}::BIGINT AS arc, count(*) AS total, count(*) FILTER (ok) AS testable, count(*) FILTER (ok AND NOT bad) AS satisfying, count(*) FILTER (NOT bad) AS satisfying_all FROM (SELECT ev_id, ev_id IN ({bad}) AS bad, ev_id IN ({ok}) AS ok FROM ev WHERE ev_type = '{a.source}')")
+    return "+objs AS MATERIALIZED (SELECT ev_id, list(ob_id) AS os FROM d GROUP BY 1), sets AS MATERIALIZED (SELECT ev_id, ob_type, list(ob_id) AS os FROM d GROUP BY 1, 2) " + " UNION ALL ".join(parts)
+
+
+@query(_evidence_sql(), True)
+def negative_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return declare.evidence(declare.index_for(trade_log(spark, d), NEGATIVE), NEGATIVE)
+
+
+@query()
+def negative_discover(spark: SparkSession, d: str) -> DataFrame:
+    return _arc_rows(spark, negative.discover(trade_log(spark, d), declare.Options(noise=0.1, activities=("place", "ship_A", "ship_R"))))
+
+
+@query()
+def negative_reduced(spark: SparkSession, d: str) -> DataFrame:
+    log, acts = trade_log(spark, d), ("place", "ship_A", "ship_R")
+    positive = declare.discover(log, declare.Options(noise=0.1, activities=acts, arrows=("AS", "EF", "EP"), all_for_single=True))
+    arcs, _ = negative.discover_reduced(log, positive, declare.Options(noise=0.1, activities=acts))
+    return _arc_rows(spark, arcs)
+
+
+@query()
+def negative_candidate_table(spark: SparkSession, d: str) -> DataFrame:
+    return declare.candidate_table(trade_log(spark, d), ("AS", "EF"), True, ["place", "ship_A"])[1]
+
+
+@query()
+def existence_candidate_table(spark: SparkSession, d: str) -> DataFrame:
+    return declare.candidate_table(trade_log(spark, d), ("AS", "EF"), False, ["place", "ship_A"])[1]
