@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.operators import cases, declare, negative, objects
+from loomtrace.operators import cases, conformance, declare, negative, objects, paths
 from loomtrace.plans.declare import Arc, Label
 from loomtrace.sources.testdata import TRADE_SQL, dialog_log, trade_log, user_day_log, user_log
 
@@ -369,3 +369,92 @@ def negative_candidate_table(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def existence_candidate_table(spark: SparkSession, d: str) -> DataFrame:
     return declare.candidate_table(trade_log(spark, d), ("AS", "EF"), False, ["place", "ship_A"])[1]
+
+
+# -- path schemas
+
+ORDER, CUSTOMER, PART, PLACE, SHIP_A = ("object", "order"), ("object", "customer"), ("object", "part"), ("event", "place"), ("event", "ship_A")
+
+
+def _step(a, qualifier: str, b, reverse: bool = False) -> paths.Step:
+    return paths.Step(paths.Edge(a, qualifier, b), reverse)
+
+
+@query("SELECT 'event' AS kind, ev_type AS source, qualifier, ob_type AS target FROM e2o JOIN ev USING (ev_id) JOIN ob USING (ob_id) GROUP BY 2, 3, 4 UNION ALL SELECT 'object', s.ob_type, qualifier, t.ob_type FROM o2o JOIN ob s ON s.ob_id = src_id JOIN ob t ON t.ob_id = tgt_id GROUP BY 2, 3, 4", True)
+def path_type_graph(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(e.source[0], e.source[1], e.qualifier, e.target[1]) for e in paths.type_graph(trade_log(spark, d))], "kind string, source string, qualifier string, target string")
+
+
+_FORWARD = paths.Schema(PLACE, (_step(PLACE, "order", ORDER), _step(SHIP_A, "order", ORDER, True)))
+_LONG = paths.Schema(CUSTOMER, (_step(ORDER, "placed_by", CUSTOMER, True), _step(ORDER, "contains", PART)))
+_CYCLE = paths.Schema(ORDER, (_step(ORDER, "placed_by", CUSTOMER), _step(ORDER, "placed_by", CUSTOMER, True)))
+
+
+@query("SELECT e.ev_id AS source, f.ev_id AS target, epoch_us(e.ts) AS source_t, epoch_us(f.ts) AS target_t FROM d e JOIN d f ON f.ob_id = e.ob_id AND f.ev_type = 'ship_A' AND f.ts >= e.ts WHERE e.ev_type = 'place' AND e.ob_type = 'order'", True)
+def path_connections_forward(spark: SparkSession, d: str) -> DataFrame:
+    return paths.connections(trade_log(spark, d), _FORWARD, "forward")
+
+
+@query("SELECT source, target, source_t, target_t FROM (SELECT e.ev_id AS source, f.ev_id AS target, epoch_us(e.ts) AS source_t, epoch_us(f.ts) AS target_t, row_number() OVER (PARTITION BY e.ev_id ORDER BY abs(epoch_us(f.ts) - epoch_us(e.ts)), f.ev_id) AS k FROM d e JOIN d f ON f.ob_id = e.ob_id AND f.ev_type = 'ship_A' AND abs(epoch_us(f.ts) - epoch_us(e.ts)) <= 86400000000 * 60 WHERE e.ev_type = 'place' AND e.ob_type = 'order') WHERE k = 1", True)
+def path_connections_closest(spark: SparkSession, d: str) -> DataFrame:
+    return paths.connections(trade_log(spark, d), _FORWARD, "bounded", 86400.0 * 60, "closest")
+
+
+@query("SELECT a.src_id AS source, b.src_id AS target FROM o2o a JOIN o2o b ON a.tgt_id = b.tgt_id AND a.qualifier = 'placed_by' AND b.qualifier = 'placed_by' WHERE a.src_id <> b.src_id", True)
+def path_connections_cycle(spark: SparkSession, d: str) -> DataFrame:
+    return paths.connections(trade_log(spark, d), _CYCLE).select("source", "target")
+
+
+@query("+f AS (SELECT DISTINCT e.ev_id AS s, f.ev_id AS t FROM d e JOIN d f ON f.ob_id = e.ob_id AND f.ev_type = 'ship_A' WHERE e.ev_type = 'place' AND e.ob_type = 'order'), l AS (SELECT DISTINCT a.tgt_id AS s, b.tgt_id AS t FROM o2o a JOIN o2o b ON b.src_id = a.src_id AND b.qualifier = 'contains' WHERE a.qualifier = 'placed_by') SELECT 0 AS schema, count(*) AS support, count(DISTINCT s) AS sources, count(DISTINCT t) AS targets FROM f UNION ALL SELECT 1, count(*), count(DISTINCT s), count(DISTINCT t) FROM l", True)
+def path_summary(spark: SparkSession, d: str) -> DataFrame:
+    return paths.summary(trade_log(spark, d), [_FORWARD, _LONG]).drop("set_hash")
+
+
+@query("+p AS (SELECT (epoch_ms(f.ts) - epoch_ms(e.ts)) / 1000.0::DOUBLE AS s FROM d e JOIN d f ON f.ob_id = e.ob_id AND f.ev_type = 'ship_A' AND f.ts >= e.ts WHERE e.ev_type = 'place' AND e.ob_type = 'order') SELECT count(*) AS n, min(s) AS low, max(s) AS high, round(avg(s), 6) AS mean, median(s) AS median FROM p", True)
+def path_throughput(spark: SparkSession, d: str) -> DataFrame:
+    return paths.throughput(paths.connections(trade_log(spark, d), _FORWARD, "forward"))
+
+
+@query()
+def path_discover(spark: SparkSession, d: str) -> DataFrame:
+    rows = paths.discover(trade_log(spark, d), PLACE, SHIP_A, 2)
+    return spark.createDataFrame([(r["text"], r["support"], r["coverage"], r["selectivity"], r["reach"], r["exclusivity"], r["representative"]) for r in rows], "schema string, support long, coverage double, selectivity double, reach double, exclusivity double, representative string")
+
+
+# -- case-centric conformance
+
+
+def dialog_net():
+    """user and assistant in turn, after an optional system turn."""
+    from loomtrace.plans.petri import PetriNet
+
+    net = PetriNet(initial={"start": 1}, finals=[{"idle": 1}])
+    for p in ("start", "idle", "asked"):
+        net.add_place(p)
+    for t, label, a, b in (("skip", None, "start", "idle"), ("system", "system", "start", "idle"), ("user", "user", "idle", "asked"), ("assistant", "assistant", "asked", "idle")):
+        net.add_transition(t, label)
+        net.add_arc(a, t)
+        net.add_arc(t, b)
+    return net
+
+
+def visible_dialog_net():
+    net = dialog_net()
+    net.remove("skip")
+    net.initial = {"idle": 1}
+    return net
+
+
+@query()
+def conformance_token_replay(spark: SparkSession, d: str) -> DataFrame:
+    return conformance.replay_summary(conformance.token_replay(cases.variants(dialog_log(spark, d)), visible_dialog_net()))
+
+
+@query()
+def conformance_alignments(spark: SparkSession, d: str) -> DataFrame:
+    return conformance.alignments(cases.variants(dialog_log(spark, d)), dialog_net()).withColumn("trace", objects.trace_string(F.col("trace")))
+
+
+@query()
+def conformance_alignment_fitness(spark: SparkSession, d: str) -> DataFrame:
+    return conformance.alignment_fitness(conformance.alignments(cases.variants(dialog_log(spark, d)), dialog_net()))
