@@ -11,15 +11,23 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-EV = T.StructType.fromDDL("ev_id string, ev_type string, ts timestamp")
-OB = T.StructType.fromDDL("ob_id string, ob_type string")
-E2O = T.StructType.fromDDL("ev_id string, ob_id string, qualifier string")
-O2O = T.StructType.fromDDL("src_id string, tgt_id string, qualifier string")
-ATTR = T.StructType.fromDDL("ob_id string, name string, value string, ts timestamp")
-EV_ATTR = T.StructType.fromDDL("ev_id string, name string, value string")
-TYPES = T.StructType.fromDDL("kind string, type string, name string, value_type string")
+
+
+class Ddl(str):
+    """A schema as DDL text of flat columns; needs no session until it is used."""
+
+    @property
+    def names(self) -> list[str]:
+        return [c.split()[0] for c in self.split(", ")]
+
+
+EV = Ddl("ev_id string, ev_type string, ts timestamp")
+OB = Ddl("ob_id string, ob_type string")
+E2O = Ddl("ev_id string, ob_id string, qualifier string")
+O2O = Ddl("src_id string, tgt_id string, qualifier string")
+ATTR = Ddl("ob_id string, name string, value string, ts timestamp")
+EV_ATTR = Ddl("ev_id string, name string, value string")
+TYPES = Ddl("kind string, type string, name string, value_type string")
 
 
 @dataclass(frozen=True)
