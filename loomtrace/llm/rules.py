@@ -118,6 +118,8 @@ def _holds(row, literal) -> bool:
 
 def learn(rows: list[tuple], names: list[str], bad: list[bool]) -> list[Rule]:
     """Rules for the rows marked bad, which are the smaller class; a row is a tuple of features."""
+    if not rows:
+        return []
     cuts = []
     for k in range(len(names)):
         v = sorted(r[k] for r in rows)
