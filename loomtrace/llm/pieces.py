@@ -25,7 +25,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values of the file format
 UNKNOWN_PENALTY = 10.0  # fixed value: below the least score
 #: Distinct stretches that a task keeps at once, and characters of texts taken together.
-CACHE, BLOCK = 400_000, 1_500_000
+CACHE, BLOCK = 150_000, 300_000
 F32 = np.float32
 
 

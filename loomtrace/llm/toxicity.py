@@ -26,10 +26,10 @@ WIDTH, STRIDE = 24, 12
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 8, 8, 8
 TRIGRAMS = 4096
 #: Bounds of the labelled sample (texts of each class) and of the vocabulary learned from it.
-SAMPLE_PER_CLASS, VOCABULARY = 1500, 20_000
+SAMPLE_PER_CLASS, VOCABULARY = 1200, 20_000
 STEPS, BATCH, RATE = 300, 192, 0.01
-#: Distinct words whose inputs a task keeps at once.
-CACHE = 200_000
+#: Distinct words whose inputs a task keeps at once, and characters of texts taken together.
+CACHE, BLOCK = 120_000, 500_000
 STRIP = b".,!?;:\"'()[]{}#*$%&|<>-_/\\"
 F32 = np.float32
 
@@ -210,10 +210,17 @@ def worst(net: Network, texts: list, cache: Inputs | None = None) -> tuple[np.nd
     return top, start[where]
 
 
+def worst_of(net: Network, texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """worst() in blocks of texts, each with a cache of its own."""
+    got = [worst(net, texts[i : i + 100]) for i in range(0, len(texts), 100)]
+    return tuple(np.concatenate([g[k] for g in got]) if got else np.zeros(0) for k in (0, 1))
+
+
 def train(texts: list[str], toxic: list[int], seed: int = 7, steps: int = STEPS) -> Network:
     """Fit on labelled texts. Without both classes the network scores every text alike."""
     r = np.random.default_rng(seed)
-    split = [[normal(w) for w in _split(t)] for t in texts]
+    one: dict[bytes, bytes] = {}  # each word is held once
+    split = [[one.setdefault(w, w) for w in map(normal, _split(t))] for t in texts]
     df = [Counter(), Counter()]
     for ws, y in zip(split, toxic, strict=True):
         df[y].update(set(ws))
@@ -228,6 +235,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 7, steps: int = STEPS)
         net.scale = 0.0
         return net
     # how far a word's texts are toxic beyond chance, in standard deviations: rare words can't lead
+    one.clear()
     odds = {w: (df[1][w] - seen[w] * rate) / (seen[w] * rate + 0.5) ** 0.5 for w in names}
     # word vectors start from that association; all else is learned
     net.p["ew"][1:, 0] = [3 * np.tanh(max(0.0, odds[w] - 2) / 4) for w in names]
@@ -250,7 +258,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 7, steps: int = STEPS)
     pos = [i for i in pos if proof[i] >= least]  # labels are noisy: a toxic text without evidence teaches nothing
     for step in range(steps):
         if step in (steps // 2, 3 * steps // 4):  # from here on the network itself says which window stands for a text
-            for i, s in zip([*pos, *neg], worst(net, [texts[i] for i in [*pos, *neg]])[1], strict=True):
+            for i, s in zip([*pos, *neg], worst_of(net, [texts[i] for i in [*pos, *neg]])[1], strict=True):
                 pick[i] = int(s)
         rows, y = [], []
         for k in range(BATCH):
@@ -276,7 +284,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 7, steps: int = STEPS)
             fix = RATE * (1 - step / steps) * np.sqrt(1 - 0.99 ** (step + 1)) / (1 - 0.9 ** (step + 1))
             net.p[k] -= F32(fix) * m / (np.sqrt(v) + F32(1e-6)) + (F32(1e-4) * net.p[k] if k in ("ew", "ec") else F32(0))
     some = [*pos, *neg]
-    top, want = worst(net, [texts[i] for i in some])[0].astype(float), np.repeat([1.0, 0.0], [len(pos), len(neg)])
+    top, want = worst_of(net, [texts[i] for i in some])[0].astype(float), np.repeat([1.0, 0.0], [len(pos), len(neg)])
     weight = np.where(want == 1, 0.7 / len(pos), 1.3 / len(neg))  # clean texts are the many
     a, b = 1.0, 0.0
     for _ in range(200):  # logistic calibration of the worst window
@@ -315,7 +323,7 @@ def score(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
             texts, out, i = batch.column(text).to_pylist(), [], 0
             while i < len(texts):
                 j, chars = i, 0
-                while j < len(texts) and (j == i or chars + len(texts[j] or "") < 1_500_000):
+                while j < len(texts) and (j == i or chars + len(texts[j] or "") < BLOCK):
                     chars += len(texts[j] or "")
                     j += 1
                 if len(cache) > CACHE:
