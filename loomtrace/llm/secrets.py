@@ -111,9 +111,10 @@ def _mask(texts: pd.Series, spans: pd.Series) -> pd.Series:
             return text
         out, at = [], 0
         for s in sorted(found, key=lambda s: (s["start"], -s["end"])):
-            if s["end"] <= at:
+            if out and s["start"] < at:  # the run goes on
+                at = max(at, s["end"])
                 continue
-            out += [text[at:max(at, s["start"])], "[SECRET]"]
+            out += [text[at : s["start"]], "[SECRET]"]
             at = s["end"]
         return "".join([*out, text[at:]])
 
