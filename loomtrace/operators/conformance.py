@@ -67,3 +67,37 @@ def alignment_fitness(aligned: DataFrame) -> DataFrame:
         F.round(F.sum(F.when(ok, own * F.col("freq"))) / n, 6).alias("average_fitness"),
         F.round(F.sum(F.when(ok & (F.col("cost") == 0), F.col("freq")).otherwise(0)) / n, 6).alias("perfect"),
         F.sum(F.when(ok, 0).otherwise(F.col("freq"))).alias("unsolved"))
+
+
+def spark_fitness(spark, batch: int = 64):
+    """How candidate places replay, counted over variants on the executors in parts and summed; for
+    use with alpha.discover."""
+    from loomtrace.plans.alpha import place_counts
+
+    def fitness(variants, candidates, strict):
+        if not candidates or not variants:
+            return [(0, 0, 0.0)] * len(candidates)
+        sent = spark.sparkContext.broadcast(candidates)
+
+        def run(batches):
+            for pdf in batches:
+                got = place_counts(zip(pdf["trace"], pdf["freq"].tolist(), strict=True), sent.value, strict)
+                rows = [(k, x, n, f) for k, r in got.items() for x, (n, f) in [*r[2].items(), ("", (r[0], r[1]))]]
+                yield pd.DataFrame(rows, columns=["k", "act", "n", "f"])
+
+        df = spark.createDataFrame([(list(t), n) for t, n in variants.items()], "trace array<string>, freq long").repartition(max(1, len(variants) // batch))
+        out = [[0, 0, 1.0] for _ in candidates]
+        sums = df.mapInPandas(run, "k long, act string, n long, f long").groupBy("k", "act").agg(F.sum("n").alias("n"), F.sum("f").alias("f")).filter("n > 0")
+        for r in sums.collect():  # candidates times activities
+            if r["act"] == "":
+                out[r["k"]][:2] = r["n"], r["f"]
+            else:
+                out[r["k"]][2] = min(out[r["k"]][2], r["f"] / r["n"])
+        return [(n, f, low if n else 0.0) for n, f, low in out]
+
+    return fitness
+
+
+def variant_dict(variants: DataFrame) -> dict[tuple[str, ...], int]:
+    """Variants on the driver, for discovery of a model; as many rows as there are variants."""
+    return {tuple(r["trace"]): r["freq"] for r in variants.toLocalIterator()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.operators import cases, conformance, declare, negative, objects, paths
+from loomtrace.operators import abstraction, cases, conformance, declare, negative, objects, paths
 from loomtrace.plans.declare import Arc, Label
 from loomtrace.sources.testdata import TRADE_SQL, dialog_log, trade_log, user_day_log, user_log
 
@@ -458,3 +458,32 @@ def conformance_alignments(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def conformance_alignment_fitness(spark: SparkSession, d: str) -> DataFrame:
     return conformance.alignment_fitness(conformance.alignments(cases.variants(dialog_log(spark, d)), dialog_net()))
+
+
+@query()
+def discover_alpha(spark: SparkSession, d: str) -> DataFrame:
+    from loomtrace.plans import alpha
+
+    net = alpha.discover(conformance.variant_dict(cases.variants(dialog_log(spark, d))), alpha.Config(absolute=1), conformance.spark_fitness(spark))
+    rows = [(p, " ".join(sorted(net.pre(p))), " ".join(sorted(net.post(p))), net.initial.get(p, 0), net.final.get(p, 0)) for p in net.places]
+    return spark.createDataFrame(rows, "place string, producers string, consumers string, initial long, final long")
+
+
+@query("""+ev2 AS (SELECT DISTINCT ev_id, ev_type FROM d), n AS (SELECT ev_type, count(*) AS events FROM ev2 GROUP BY 1),
+c AS (SELECT ev_type, ob_type, count(*) AS carrying, max(n) AS high FROM (SELECT ev_id, ev_type, ob_type, count(*) AS n FROM d GROUP BY ALL) GROUP BY 1, 2),
+m AS (SELECT ev_type, ob_type, count(DISTINCT ob_id) AS met FROM d GROUP BY 1, 2), t AS (SELECT ob_type, count(*) AS objects FROM ob GROUP BY 1),
+k AS (SELECT DISTINCT ev_type, ob_type AS other FROM d), o AS (SELECT ev_id, ob_type AS other, list_sort(list(ob_id)) AS os FROM d GROUP BY 1, 2),
+v AS (SELECT DISTINCT ev_type, ob_type FROM (SELECT d.ev_type, d.ob_type, d.ob_id, k.other, count(DISTINCT coalesce(o.os::VARCHAR, '')) AS q FROM d JOIN k ON k.ev_type = d.ev_type AND k.other <> d.ob_type LEFT JOIN o ON o.ev_id = d.ev_id AND o.other = k.other GROUP BY ALL) WHERE q > 1)
+SELECT c.ev_type, c.ob_type, true AS related, carrying < events AS deficient, high > 1 AS convergent, v.ev_type IS NOT NULL AS divergent, met < objects AS optional FROM c JOIN n USING (ev_type) JOIN m ON m.ev_type = c.ev_type AND m.ob_type = c.ob_type JOIN t ON t.ob_type = c.ob_type LEFT JOIN v ON v.ev_type = c.ev_type AND v.ob_type = c.ob_type""", True)
+def language_relations(spark: SparkSession, d: str) -> DataFrame:
+    return abstraction.relations(trade_log(spark, d))
+
+
+@query()
+def language_fitness_precision(spark: SparkSession, d: str) -> DataFrame:
+    from loomtrace.plans import tree
+
+    ship = [tree.leaf(f"ship_{f}", ["order", "part", "supplier"], ["part", "supplier"], [], ["part", "supplier", "order"], ["order", "part", "supplier"]) for f in "ANR"]
+    model = tree.node(tree.SEQ, tree.leaf("place", ["order", "customer"], [], [], ["customer"], ["customer"]), tree.node(tree.AND, *ship))
+    fit, prec = tree.fitness_precision(abstraction.abstraction_of_log(trade_log(spark, d)), tree.abstraction_of_tree(model))
+    return spark.createDataFrame([(round(fit, 6), round(prec, 6))], "fitness double, precision double")
