@@ -158,11 +158,25 @@ def _window_rows(q: int):
 
 
 def _merge_rows(length: int):
+    """Maximal covered runs of each row's spans, as arrays: one sort, one running maximum."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("lo", pa.int64()), ("more", pa.int64())]))
         for batch in batches:
-            out = [[{"lo": a, "more": b - a - length} for a, b in _merged(x, length)] for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["rid", "spans"])
+            lists = batch.column(1)
+            flat = lists.flatten()
+            owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            lo, more = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2))
+            order = np.lexsort((lo, owner))
+            owner, lo, hi = owner[order], lo[order], (lo + more + length)[order]
+            # rows stand one behind another on a line, far enough apart not to touch
+            base = owner * (int(hi.max(initial=0)) + 2)
+            reach = np.maximum.accumulate(base + hi)
+            new = np.concatenate([[True], (base + lo)[1:] > reach[:-1]]) if len(lo) else np.zeros(0, bool)
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(lo)) - 1 if len(first) else first
+            starts, ends = lo[first], reach[last] - base[first]
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(owner[first], minlength=len(lists)))]).astype(np.int32)
+            runs = pa.StructArray.from_arrays([pa.array(starts), pa.array(ends - starts - length)], ["lo", "more"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), runs)], ["rid", "spans"])
 
     return run
 
