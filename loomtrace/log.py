@@ -56,8 +56,12 @@ class OCLog:
 
     @cached_property
     def e2o_d(self) -> DataFrame:
-        """Distinct (event, object) pairs with both types and the time; the table most operators join."""
-        return self.e2o.select("ev_id", "ob_id").distinct().join(self.ev, "ev_id").join(self.ob, "ob_id").select("ev_id", "ob_id", "ev_type", "ob_type", "ts")
+        """Distinct (event, object) pairs with both types and the time; the table most operators join.
+
+        Pairs are made distinct where the join has already dealt them by event, which saves an
+        exchange, and end dealt by object, as lives of objects need them."""
+        pairs = self.e2o.select("ev_id", "ob_id").join(self.ev, "ev_id").select("ev_id", "ob_id", "ev_type", "ts").distinct()
+        return pairs.join(self.ob, "ob_id").select("ev_id", "ob_id", "ev_type", "ob_type", "ts")
 
     @cached_property
     def e2o_raw(self) -> DataFrame:

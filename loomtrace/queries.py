@@ -241,10 +241,10 @@ def oc_attribute_changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""+a AS (SELECT ob_id, ts, max(value) FILTER (name = 'status') AS status, max(value) FILTER (name = 'priority') AS priority FROM attr WHERE ob_id LIKE 'o%' GROUP BY 1, 2)
-SELECT ob_id, 0 AS change_id, NULL::BIGINT AS from_us, epoch_us(min(ts)) AS to_us, NULL::VARCHAR AS status, NULL::VARCHAR AS priority FROM (SELECT ob.ob_id, a.ts FROM ob LEFT JOIN a USING (ob_id) WHERE ob_type = 'order') GROUP BY 1
-UNION ALL SELECT ob_id, row_number() OVER (PARTITION BY ob_id ORDER BY ts), epoch_us(ts), epoch_us(lead(ts) OVER (PARTITION BY ob_id ORDER BY ts)), last_value(status IGNORE NULLS) OVER (PARTITION BY ob_id ORDER BY ts), last_value(priority IGNORE NULLS) OVER (PARTITION BY ob_id ORDER BY ts) FROM a""", True)
+SELECT ob_id, 0 AS change_id, NULL::VARCHAR AS from_us, epoch_us(min(ts))::VARCHAR AS to_us, NULL::VARCHAR AS status, NULL::VARCHAR AS priority FROM (SELECT ob.ob_id, a.ts FROM ob LEFT JOIN a USING (ob_id) WHERE ob_type = 'order') GROUP BY 1
+UNION ALL SELECT ob_id, row_number() OVER (PARTITION BY ob_id ORDER BY ts), epoch_us(ts)::VARCHAR, epoch_us(lead(ts) OVER (PARTITION BY ob_id ORDER BY ts))::VARCHAR, last_value(status IGNORE NULLS) OVER (PARTITION BY ob_id ORDER BY ts), last_value(priority IGNORE NULLS) OVER (PARTITION BY ob_id ORDER BY ts) FROM a""", True)
 def oc_attribute_history(spark: SparkSession, d: str) -> DataFrame:
-    return objects.attribute_history(trade_log(spark, d), "order", ["status", "priority"]).withColumn("change_id", F.col("change_id").cast("long"))
+    return objects.attribute_history(trade_log(spark, d), "order", ["status", "priority"]).withColumns({"change_id": F.col("change_id").cast("long"), "from_us": F.col("from_us").cast("string"), "to_us": F.col("to_us").cast("string")})
 
 
 @query("""+o AS (SELECT DISTINCT src_id, tgt_id, s.ob_type AS src_type, t.ob_type AS tgt_type FROM o2o JOIN ob s ON s.ob_id = src_id JOIN ob t ON t.ob_id = tgt_id), n AS (SELECT ob_type AS first, count(*) AS total FROM ob GROUP BY 1),
