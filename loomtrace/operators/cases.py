@@ -123,18 +123,37 @@ def dotted_chart(log: DataFrame, x: str = "time", y: str = "case", colour: str =
     at = t - F.unix_micros("log_start") if at is None else at
     key = {"case": ("first", "case_id"), "case_by_duration": ("dur", "case_id"), "case_by_length": ("n", "case_id")}.get(y)
     if key:
-        number = per.withColumn("dur", F.unix_micros("last") - F.unix_micros("first")).select("case_id", (_global_rank(*key) - 1).alias("y"))
+        number = numbered(per.withColumn("dur", F.unix_micros("last") - F.unix_micros("first")), list(key), "y").select("case_id", "y")
         rows = rows.join(number, "case_id")
     else:
-        number = log.groupBy("activity").agg(F.min(F.struct("ts", "pos")).alias("f")).select("activity", (_global_rank("f", "activity") - 1).alias("y"))
+        number = log.groupBy("activity").agg(F.min(F.struct("ts", "pos")).alias("f")).select("activity", (F.row_number().over(W.orderBy("f", "activity")) - 1).alias("y"))  # a row per activity
         rows = rows.join(F.broadcast(number), "activity")
     c = {"activity": F.col("activity"), "case": F.col("case_id"), "hour": F.hour("ts").cast("string"), "weekday": F.dayofweek("ts").cast("string"), "none": F.lit("")}[colour]
     return rows.select("case_id", "pos", at.alias("x"), F.col("y").cast("long").alias("y"), c.alias("colour"))
 
 
-def _global_rank(*keys: str) -> Column:
-    """Numbers one row per case or activity, not per event."""
-    return F.row_number().over(W.orderBy(*keys))
+#: Ranges that a global order is worked out in.
+RANGES = 64
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with the rank from 0 of each row in a global order of all rows, without ordering them in
+    one task: the first key's quantiles cut ranges, each range is numbered for itself, and the sizes
+    of the ranges before it (RANGES rows) are added. order starts with a number or a time."""
+    first = F.unix_micros(order[0]) if dict(df.dtypes)[order[0]].startswith("timestamp") else F.col(order[0]).cast("long")
+    keyed = df.withColumn("_k", first)
+    cuts = keyed.agg(F.percentile_approx("_k", [k / RANGES for k in range(1, RANGES)], 10_000).alias("c")).first()["c"] or []
+    cuts = sorted(set(cuts))
+
+    def tree(i: int, j: int) -> Column:
+        m = (i + j) // 2
+        return F.lit(i) if i == j else F.when(F.col("_k") < cuts[m], tree(i, m)).otherwise(tree(m + 1, j))
+
+    ranged = keyed.withColumn("_r", F.when(F.col("_k").isNull(), -1).otherwise(tree(0, len(cuts))))
+    sizes = ranged.groupBy("_r").agg(F.count("*").alias("_n"))
+    before = sizes.select("_r", (F.sum("_n").over(W.orderBy("_r").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(W.partitionBy("_r").orderBy(*order)) - 1
+    return ranged.withColumn("_i", own).join(F.broadcast(before), "_r").withColumn(name, (F.col("_before") + F.col("_i")).cast("long")).drop("_k", "_r", "_i", "_before")
 
 
 def log_stats(log: DataFrame) -> DataFrame:
