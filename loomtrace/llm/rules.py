@@ -90,6 +90,11 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def base_failed() -> Column:
+    """The base rules on the statistics: fewer than 50 words, or repeats over half of the words."""
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def features() -> list[Column]:
     return [F.expr(x.replace("n_chars", "s_chars")).cast("double").alias(f"f_{k}") for k, x in FEATURES.items()]
 
@@ -173,11 +178,12 @@ def learn_rules(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
     """The decision list from labels (doc_id, quality); at most sample_rows labelled rows are used.
 
     The sample is the rows of least hash, so a rerun takes the same. Its size is bounded by the
-    parameter, hence it may be broadcast, and only its texts get statistics here.
+    parameter, hence it may be broadcast, and only its texts get statistics here. Texts that the
+    base rules drop anyway teach nothing.
     """
     pick = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id")
-    got = statistics(texts).select("doc_id", "quality", *features()).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    got = statistics(texts).filter(~base_failed()).select("doc_id", "quality", *features()).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     names = list(FEATURES)
     return learn([tuple(r[f"f_{k}"] for k in names) for r in got], names, [r["quality"] == 0 for r in got])
 
@@ -206,7 +212,7 @@ def apply_rules(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     of docs other than doc_id and text are not carried.
     """
     s = statistics(docs.select("doc_id", "text")).drop("text").select("*", *features())
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    failed = base_failed()
     return s.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         (~failed & verdict(rules)).alias("kept"), matched(rules).alias("rule"))
