@@ -55,9 +55,12 @@ BANDS = _bands()
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> U(27))) * U(0x94D049BB133111EB)
-    return h ^ (h >> U(31))
+    h = h ^ (h >> U(30))
+    h *= U(0xBF58476D1CE4E5B9)
+    h ^= h >> U(27)
+    h *= U(0x94D049BB133111EB)
+    h ^= h >> U(31)
+    return h
 
 
 class WordHash(dict):
@@ -74,17 +77,23 @@ def shingles(text: str | None, k: int, cache: WordHash) -> np.ndarray:
     ws = text.encode("utf-8", "replace").lower().split() if text else []
     if not ws:
         return np.zeros(0, U)
-    h = np.fromiter((cache[w] for w in ws), U, len(ws))
+    h = np.fromiter(map(cache.__getitem__, ws), U, len(ws))
     if len(h) < k:
         h = np.concatenate([h, np.zeros(k - len(h), U)])
         extra = U(len(ws))
     else:
         extra = U(0)
     n = len(h) - k + 1
-    s = np.full(n, extra, U)
-    for j in range(k):
-        s = _mix(s * U(0x9E3779B97F4A7C15) + h[j : j + n])
-    return np.unique(s)
+    s = h[:n] + extra
+    for j in range(1, k):  # in order: an odd multiplier between words
+        s *= U(0x9E3779B97F4A7C15)
+        s += h[j : j + n]
+    s = _mix(s)
+    s.sort()
+    new = np.empty(n, bool)
+    new[0] = True
+    np.not_equal(s[1:], s[:-1], out=new[1:])
+    return s[new]
 
 
 class Threshold:
@@ -252,7 +261,8 @@ def jaccard_components(docs: DataFrame, text: str = "text", k: int = 4, num: int
     limit = Threshold(num, den)
     told = stored(_describe(docs, text, k, limit), "sketches")
     info = told.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "sig", "bits").dropDuplicates(["doc_id", "sig"])
-    first = info.groupBy("n", "sig").agg(F.min("doc_id").alias("rep"))
+    # written, so that the engine may split the group of a text that many documents copy
+    first = stored(info.groupBy("n", "sig").agg(F.min("doc_id").alias("rep")), "sets")
     rep = stored(info.select("doc_id", "n", "sig").join(first, ["n", "sig"]).select("doc_id", "rep"), "copies")
     reps = info.join(rep.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")  # all texts of an id
     links = rep.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
