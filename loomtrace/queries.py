@@ -487,3 +487,95 @@ def language_fitness_precision(spark: SparkSession, d: str) -> DataFrame:
     model = tree.node(tree.SEQ, tree.leaf("place", ["order", "customer"], [], [], ["customer"], ["customer"]), tree.node(tree.AND, *ship))
     fit, prec = tree.fitness_precision(abstraction.abstraction_of_log(trade_log(spark, d)), tree.abstraction_of_tree(model))
     return spark.createDataFrame([(round(fit, 6), round(prec, 6))], "fitness double, precision double")
+
+
+# -- attributes, nested rows, models
+
+
+@query("SELECT 'p' || o_orderkey AS ev_id, epoch_us(o_orderdate::TIMESTAMP) AS ts_us, o_orderpriority AS priority, o_orderstatus AS status FROM orders")
+def oc_event_table(spark: SparkSession, d: str) -> DataFrame:
+    return objects.event_table(trade_log(spark, d), "place", ["priority", "status"]).withColumn("ts_us", F.unix_micros("ts")).drop("ts")
+
+
+@query("SELECT ev_id, ev_type, string_agg(ob_id, '/' ORDER BY ob_id) AS related FROM e2o JOIN ev USING (ev_id) GROUP BY 1, 2", True)
+def oc_full_events(spark: SparkSession, d: str) -> DataFrame:
+    return objects.full_events(trade_log(spark, d)).select("ev_id", "ev_type", F.array_join(F.transform("relationships", lambda r: r["ob_id"]), "/").alias("related"))
+
+
+@query("SELECT ob_id, ob_type, coalesce(string_agg(tgt_id, '/' ORDER BY tgt_id), '') AS related FROM ob LEFT JOIN o2o ON src_id = ob_id GROUP BY 1, 2", True)
+def oc_full_objects(spark: SparkSession, d: str) -> DataFrame:
+    return objects.full_objects(trade_log(spark, d)).select("ob_id", "ob_type", F.coalesce(F.array_join(F.transform("relationships", lambda r: r["ob_id"]), "/"), F.lit("")).alias("related"))
+
+
+@query("SELECT kind, type, count(*) AS count, count(t) AS timed FROM (SELECT 'event' AS kind, ev_type AS type, epoch_us(ts) AS t FROM ev UNION ALL SELECT 'object', ob_type, NULL FROM ob) GROUP BY 1, 2", True)
+def oc_entities(spark: SparkSession, d: str) -> DataFrame:
+    return objects.entities(trade_log(spark, d)).groupBy("kind", "type").agg(F.count("*").alias("count"), F.count("ts").alias("timed"))
+
+
+@query("+g AS (SELECT ob_id FROM ob WHERE ob_type = 'supplier') SELECT ev_type, ob_type, count(*) AS count FROM e2o JOIN ev USING (ev_id) JOIN ob USING (ob_id) WHERE ob_id NOT IN (SELECT ob_id FROM g) GROUP BY 1, 2", True)
+def oc_delete_objects(spark: SparkSession, d: str) -> DataFrame:
+    log = trade_log(spark, d)
+    return objects.e2o_counts(objects.delete_objects(log, objects.objects_of_type(log, "supplier")))
+
+
+@query("SELECT ev_type, count(*) AS count FROM (SELECT ev_type FROM ev UNION ALL SELECT '<init> ' || ob_type FROM ob UNION ALL SELECT '<exit> ' || ob_type FROM ob) GROUP BY 1", True)
+def oc_with_init_exit(spark: SparkSession, d: str) -> DataFrame:
+    return objects.with_init_exit(trade_log(spark, d)).ev.groupBy("ev_type").agg(F.count("*").alias("count"))
+
+
+SYNTHETIC = [Arc("<init> order", "place", "EF", Label.of(each=["order"])), Arc("place", "<exit> customer", "EF", Label.of(any=["customer"])), Arc("ship_A", "ship_R", "AS", Label.of(any=["order>part"]))]
+
+
+@query("""+l AS (SELECT ob_id, min(ts) AS lo, max(ts) AS hi FROM d GROUP BY 1),
+a AS (SELECT ob.ob_id, bool_or(d.ev_id IS NOT NULL) AS ok FROM ob LEFT JOIN l USING (ob_id) LEFT JOIN d ON d.ob_id = ob.ob_id AND d.ev_type = 'place' AND epoch_us(d.ts) > epoch_us(l.lo) - 1000 WHERE ob.ob_type = 'order' GROUP BY 1),
+p AS (SELECT e.ev_id, bool_or(l.hi IS NOT NULL) AS ok FROM ev e LEFT JOIN d ON d.ev_id = e.ev_id AND d.ob_type = 'customer' LEFT JOIN l ON l.ob_id = d.ob_id WHERE e.ev_type = 'place' GROUP BY 1),
+s AS (SELECT e.ev_id, bool_or(f.ev_id IS NOT NULL) AS ok FROM ev e LEFT JOIN d ON d.ev_id = e.ev_id AND d.ob_type = 'order' LEFT JOIN o2o ON src_id = d.ob_id AND tgt_id LIKE 'a%' LEFT JOIN d f ON f.ob_id = tgt_id AND f.ev_type = 'ship_R' WHERE e.ev_type = 'ship_A' GROUP BY 1)
+SELECT 0::BIGINT AS arc, count(*) AS total, count(*) FILTER (NOT ok) AS violating FROM a UNION ALL SELECT 1, count(*), count(*) FILTER (NOT ok) FROM p UNION ALL SELECT 2, count(*), count(*) FILTER (NOT ok) FROM s""", True)
+def declare_check_synthetic(spark: SparkSession, d: str) -> DataFrame:
+    return declare.check(trade_log(spark, d), SYNTHETIC).select("arc", "total", "violating")
+
+
+@query()
+def declare_projected(spark: SparkSession, d: str) -> DataFrame:
+    from loomtrace.plans.declare import project_arcs
+
+    arcs = declare.discover(trade_log(spark, d), declare.Options(activities=("place", "ship_A", "ship_R"), arrows=("AS", "EF", "EP")))
+    return _arc_rows(spark, project_arcs(arcs, {"place", "ship_R"}, "lossless"))
+
+
+@query()
+def negative_precision(spark: SparkSession, d: str) -> DataFrame:
+    from loomtrace.plans import negative as rules
+
+    log, acts = trade_log(spark, d), ["place", "ship_A"]
+    arcs, rows = declare.candidate_table(log, ("AS", "EF", "EP"), True, acts)
+    table = [(arcs[r["arc"]], r.asDict()) for r in rows.collect()]
+    table = [(a, r) for a, r in rules.minimal_rows(table, 0.1)]
+    k = negative.knowledge(log, [])
+    model, _ = rules.reduce_negative([a for a, _ in table], k)
+    known = rules.closure(model, arcs, k)
+    return spark.createDataFrame([(w, round(rules.precision(table, known.__contains__, w), 6), len(model)) for w in rules.WEIGHTS], "weight string, precision double, arcs long")
+
+
+@query()
+def path_enumerate(spark: SparkSession, d: str) -> DataFrame:
+    found = paths.enumerate_schemas(paths.type_graph(trade_log(spark, d)), PLACE, SHIP_A, 3)
+    return spark.createDataFrame([(s.text(), len(s.steps)) for s in found], "schema string, length long")
+
+
+@query()
+def conformance_tree_alignments(spark: SparkSession, d: str) -> DataFrame:
+    from loomtrace.plans import tree
+
+    talk = tree.node(tree.SEQ, tree.node(tree.XOR, tree.leaf("system"), tree.leaf()), tree.node(tree.LOOP, tree.node(tree.SEQ, tree.leaf("user"), tree.leaf("assistant")), tree.leaf()))
+    return conformance.alignment_fitness(conformance.alignments(cases.variants(dialog_log(spark, d)), tree.to_petri_net(talk)))
+
+
+@query()
+def oc_map_closure(spark: SparkSession, d: str) -> DataFrame:
+    from loomtrace.plans import maps
+
+    log = trade_log(spark, d)
+    found = [(r["first"], r["second"], r["orientation"]) for r in objects.functional_maps(log).collect()]
+    kept = maps.least_kept({r[0] for r in objects.object_types(log).collect()}, found)
+    return spark.createDataFrame([(a, b, len(c)) for (a, b), c in sorted(maps.compositions(found).items())] + [(t, "kept", 0) for t in sorted(kept)], "source string, target string, chains long")

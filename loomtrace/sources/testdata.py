@@ -55,7 +55,9 @@ def trade_log(spark: SparkSession, sf_dir: str) -> OCLog:
         orders.select(oid("o", "o_orderkey").alias("ob_id"), F.lit("status").alias("name"), F.col("o_orderstatus").alias("value"), F.col("o_orderdate").cast("timestamp").alias("ts"))
         .unionByName(orders.select(oid("o", "o_orderkey").alias("ob_id"), F.lit("priority").alias("name"), F.col("o_orderpriority").alias("value"), F.col("o_orderdate").cast("timestamp").alias("ts")))
         .unionByName(cust.select(oid("c", "c_custkey").alias("ob_id"), F.lit("segment").alias("name"), F.col("c_mktsegment").alias("value"), epoch.alias("ts"))))
-    return OCLog(ev, ob, e2o, o2o, attr.select(*ATTR.names), spark.createDataFrame([], EV_ATTR))
+    ev_attr = orders.select(oid("p", "o_orderkey").alias("ev_id"), F.lit("priority").alias("name"), F.col("o_orderpriority").alias("value")).unionByName(
+        orders.select(oid("p", "o_orderkey").alias("ev_id"), F.lit("status").alias("name"), F.col("o_orderstatus").alias("value")))
+    return OCLog(ev, ob, e2o, o2o, attr.select(*ATTR.names), ev_attr.select(*EV_ATTR.names))
 
 
 #: The same log in DuckDB, as common table expressions.
