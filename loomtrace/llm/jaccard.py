@@ -36,7 +36,7 @@ COUNT_BITS, CHUNKS = 20, 64
 #: Shingles per sketch word, and words of the bit sketch.
 PER_WORD, BIT_WORDS = 3, 16
 #: Distinct words whose hashes a task keeps at once.
-CACHE = 300_000
+CACHE = 100_000
 #: Ids that a broadcast may hold; beyond it the same join shuffles.
 BROADCAST_IDS = 200_000
 GROWTH = 1.5
@@ -227,23 +227,26 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str, k: int, limit: Thres
     small = ids.count() <= BROADCAST_IDS
     texts = docs.select("doc_id", text).join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHash()
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "s": [shingles(t, k, cache).tobytes() for t in pdf[text]]})
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1000):
+                batch = whole.slice(i, 1000)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, k, cache).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "s"])
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             ok = []
-            for x, y in zip(pdf["sa"], pdf["sb"], strict=True):
-                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
+            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(both > 0 and limit.den * both >= limit.num * (len(x) + len(y) - both))
-            yield pdf.loc[np.array(ok, bool), ["a", "b"]]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    s = texts.mapInPandas(sets, "doc_id long, s binary")
+    # written once: both sides of the join read it, and no task runs more than one Python worker
+    s = stored(texts.mapInArrow(sets, "doc_id long, s binary"), "pair-sets")
     side = lambda x: s.select(F.col("doc_id").alias(x), F.col("s").alias(f"s{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(check, "a long, b long").distinct()
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
