@@ -183,7 +183,8 @@ def learn_rules(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
     """
     pick = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id")
-    got = statistics(texts).filter(~base_failed()).select("doc_id", "quality", *features()).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    got = statistics(texts).select("doc_id", "quality", base_failed().alias("failed"), *features()).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    got = [r for r in got if not r["failed"]]  # here: as a filter it would move below the join, to all texts
     names = list(FEATURES)
     return learn([tuple(r[f"f_{k}"] for k in names) for r in got], names, [r["quality"] == 0 for r in got])
 
