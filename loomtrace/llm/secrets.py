@@ -79,16 +79,18 @@ def scan_versions(versions: DataFrame, key: str, content: str, ledger: DataFrame
 
     Only ids and digests are grouped. The text is dealt by key for the one representative of each
     blob, so a blob that has a third of all versions is read once and moves no text twice.
-    Null content is the empty blob. Repeated keys are kept as they are. Empty tables give empty ones.
+    Null content is the empty blob. Null and repeated keys are kept as they are. Empty tables give
+    empty ones.
     """
-    ids = versions.select(F.col(key).alias("key"), blob_id(F.col(content)).alias("blob"))
-    first = ids.groupBy("blob").agg(F.min("key").alias("key"))
+    blob = blob_id(F.col(content))
+    ids = versions.select(F.col(key).alias("key"), blob.alias("blob"))
+    row = F.xxhash64("key", "blob").alias("row")  # a key may be null, or bring several contents
+    first = ids.select("blob", row).groupBy("blob").agg(F.min("row").alias("row"))
     if ledger is not None:
         first = first.join(ledger.filter(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
-    first = stored(first.filter(F.col("key").isNotNull()), "secret-unseen")
-    texts = versions.select(F.col(key).alias("key"), F.col(content).cast("string").alias("content")).filter("length(content) > 0")
-    # a repeated key may bring other contents; the digest is compared again
-    unseen = texts.join(first, "key").filter(blob_id(F.col("content")) == F.col("blob")).select("blob", "content")
+    first = stored(first, "secret-unseen")
+    texts = versions.select(F.col(key).alias("key"), blob.alias("blob"), F.col(content).cast("string").alias("content")).filter("length(content) > 0")
+    unseen = texts.select(row, "content").join(first, "row").select("blob", "content")
     found = stored(unseen.mapInPandas(_scan, f"blob string, {FINDINGS}").dropDuplicates(["blob"]), "secret-findings")
     fresh = first.select("blob").join(found, "blob", "left").select("blob", F.lit(rule_version).alias("rule_version"), "spans")
     known = found.select("blob", "spans")

@@ -108,7 +108,7 @@ def test_secrets_ledger(spark, awkward, empty):
     other, all_ = secrets.scan_versions(v, "path", "content", ledger, "another version")
     assert all_.count() == 3 and other.count() == 4
     found, _ = secrets.scan_versions(awkward, "doc_id", "text")
-    assert found.count() == 6
+    assert found.count() == 6 and found.filter("doc_id IS NULL").first()["spans"][0]["kind"] == "assign"
     assert secrets.scan_versions(empty, "doc_id", "text")[0].count() == 0
     df = spark.createDataFrame([(t,)], "t string").select(F.col("t"), F.array(F.struct(F.lit("a").alias("kind"), F.lit(0).alias("start"), F.lit(3).alias("end")), F.struct(F.lit("b").alias("kind"), F.lit(2).alias("start"), F.lit(5).alias("end"))).alias("s"))
     assert df.select(secrets.mask_spans(F.col("t"), F.col("s")).alias("m")).first()["m"] == "[SECRET]" + t[5:]
