@@ -31,7 +31,7 @@ from loomtrace.llm._common import stored
 
 U = np.uint64
 #: Bytes taken together; a longer text is taken alone.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Rows, and spans in them, that a broadcast side may have; beyond it the same join shuffles.
 BROADCAST_ROWS, BROADCAST_SPANS = 200_000, 1_000_000
 _BASE = 0x9E3779B97F4A7C15
