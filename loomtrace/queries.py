@@ -312,7 +312,7 @@ def declare_check(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def declare_discover(spark: SparkSession, d: str) -> DataFrame:
-    arcs = declare.discover(trade_log(spark, d), declare.Options(activities=("place", "ship_A", "ship_R"), reduction="lossless"))
+    arcs = declare.discover(trade_log(spark, d), declare.Options(reduction="lossless"))
     return _arc_rows(spark, arcs)
 
 
@@ -350,25 +350,25 @@ def negative_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def negative_discover(spark: SparkSession, d: str) -> DataFrame:
-    return _arc_rows(spark, negative.discover(trade_log(spark, d), declare.Options(noise=0.1, activities=("place", "ship_A", "ship_R"))))
+    return _arc_rows(spark, negative.discover(trade_log(spark, d), declare.Options(noise=0.1)))
 
 
 @query()
 def negative_reduced(spark: SparkSession, d: str) -> DataFrame:
-    log, acts = trade_log(spark, d), ("place", "ship_A", "ship_R")
-    positive = declare.discover(log, declare.Options(noise=0.1, activities=acts, arrows=("AS", "EF", "EP"), all_for_single=True))
-    arcs, _ = negative.discover_reduced(log, positive, declare.Options(noise=0.1, activities=acts))
+    log = trade_log(spark, d)
+    positive = declare.discover(log, declare.Options(noise=0.1, arrows=("AS", "EF", "EP"), all_for_single=True))
+    arcs, _ = negative.discover_reduced(log, positive, declare.Options(noise=0.1))
     return _arc_rows(spark, arcs)
 
 
 @query()
 def negative_candidate_table(spark: SparkSession, d: str) -> DataFrame:
-    return declare.candidate_table(trade_log(spark, d), ("AS", "EF"), True, ["place", "ship_A"])[1]
+    return declare.candidate_table(trade_log(spark, d), ("AS", "EF", "EP"), True)[1]
 
 
 @query()
 def existence_candidate_table(spark: SparkSession, d: str) -> DataFrame:
-    return declare.candidate_table(trade_log(spark, d), ("AS", "EF"), False, ["place", "ship_A"])[1]
+    return declare.candidate_table(trade_log(spark, d), ("AS", "EF", "EP"), False)[1]
 
 
 # -- path schemas
@@ -539,7 +539,7 @@ def declare_check_synthetic(spark: SparkSession, d: str) -> DataFrame:
 def declare_projected(spark: SparkSession, d: str) -> DataFrame:
     from loomtrace.plans.declare import project_arcs
 
-    arcs = declare.discover(trade_log(spark, d), declare.Options(activities=("place", "ship_A", "ship_R"), arrows=("AS", "EF", "EP")))
+    arcs = declare.discover(trade_log(spark, d), declare.Options(arrows=("AS", "EF", "EP")))
     return _arc_rows(spark, project_arcs(arcs, {"place", "ship_R"}, "lossless"))
 
 
@@ -547,8 +547,8 @@ def declare_projected(spark: SparkSession, d: str) -> DataFrame:
 def negative_precision(spark: SparkSession, d: str) -> DataFrame:
     from loomtrace.plans import negative as rules
 
-    log, acts = trade_log(spark, d), ["place", "ship_A"]
-    arcs, rows = declare.candidate_table(log, ("AS", "EF", "EP"), True, acts)
+    log = trade_log(spark, d)
+    arcs, rows = declare.candidate_table(log, ("AS", "EF", "EP"), True)
     table = [(arcs[r["arc"]], r.asDict()) for r in rows.collect()]
     table = [(a, r) for a, r in rules.minimal_rows(table, 0.1)]
     k = negative.knowledge(log, [])

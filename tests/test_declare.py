@@ -3,9 +3,11 @@
 import datetime as dt
 import itertools
 import random
+import re
 
 import pytest
 
+from loomtrace import queries
 from loomtrace.log import OCLog
 from loomtrace.operators import declare, negative, objects
 from loomtrace.plans.declare import ALL, ANY, EACH, Arc, Label, project_arcs, reduce_arcs
@@ -185,3 +187,88 @@ def test_precision():
     rows = [(neg("a", "b"), {"satisfying": 2, "testable": 4}), (neg("a", "b", label=Label.of(all=["x"])), {"satisfying": 4, "testable": 4}), (neg("b", "a"), {"satisfying": 1, "testable": 1})]
     yes = lambda a: a.label.at(ALL) != []
     assert precision(rows, yes) == 0.25 and precision(rows, yes, "support") == pytest.approx((1 / 1.5) / 2) and precision(rows, lambda a: True) == 1.0
+
+
+KEYS = {"order": "o", "customer": "c", "part": "a", "supplier": "u"}
+LINES = [(1, "A", 3, 1, 1), (1, "N", 5, 2, 1), (2, "R", 4, 1, 2), (2, "N", 4, 1, 1), (3, "A", 6, 2, 2), (3, "R", 2, 3, 1), (3, "N", 7, 1, 2), (4, "N", 9, 3, 2), (4, "N", 9, 2, 2)]
+
+
+@pytest.fixture(scope="module")
+def trade(spark, tmp_path_factory):
+    """(folder of tables with all four activities, the events of their trade log)."""
+    d = tmp_path_factory.mktemp("trade")
+    day = lambda k: T0 + dt.timedelta(days=k)
+    orders = [(k, day(k), 1 + k % 2, "O", "1") for k in (1, 2, 3, 4)]
+    for name, rows, schema in (
+        ("orders", orders, "o_orderkey long, o_orderdate timestamp, o_custkey long, o_orderstatus string, o_orderpriority string"),
+        ("lineitem", [(o, f, day(t), p, s) for o, f, t, p, s in LINES], "l_orderkey long, l_returnflag string, l_shipdate timestamp, l_partkey long, l_suppkey long"),
+        ("customer", [(1, "a"), (2, "b")], "c_custkey long, c_mktsegment string"), ("part", [(1,), (2,), (3,)], "p_partkey long"), ("supplier", [(1,), (2,)], "s_suppkey long")):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(d / f"{name}.parquet"))
+    ships = {}
+    for o, f, t, p, s in LINES:
+        ships.setdefault((o, f), (t, {f"o{o}"}))[1].update([f"a{p}", f"u{s}"])
+    return str(d), [("place", k, [f"o{k}", f"c{1 + k % 2}"]) for k in (1, 2, 3, 4)] + [(f"ship_{f}", t, sorted(os)) for (_, f), (t, os) in ships.items()]
+
+
+def lettered(label):
+    """A label's text with the types as the first letters of their objects."""
+    level = {"Any": ANY, "Each": EACH, "All": ALL}
+    return Label((KEYS[t], level[v]) for v, ts in re.findall(r"(Any|Each|All)\(([^)]*)\)", label) for t in ts.split(","))
+
+
+@pytest.mark.parametrize("name", ["negative_candidate_table", "existence_candidate_table"])
+def test_candidate_tables_hold_all_activities(spark, trade, name):
+    d, events = trade
+    got = {(r["source"], r["target"], r["arrow"], lettered(r["label"])): (r["total"], r["satisfying_all"]) for r in queries.QUERIES[name](spark, d).collect()}
+    types = lambda x: {o[0] for t, _, os in events if t == x for o in os}
+    want = {}
+    for a, b in itertools.permutations(("place", "ship_A", "ship_N", "ship_R"), 2):
+        shared = sorted(types(a) & types(b))
+        most = {t: max(sum(o[0] == t for o in os) for u, _, os in events if u == a) for t in shared}
+        levels = [(0, ANY, ALL) if name[0] == "n" else (0, EACH) if most[t] <= 1 else (0, ANY, EACH, ALL) for t in shared]
+        for arrow in ("AS", "EF", "EP"):
+            for vec in itertools.product(*levels):
+                if any(vec):
+                    arc = Arc(a, b, arrow, Label((t, v) for t, v in zip(shared, vec, strict=True) if v), *((0, 0) if name[0] == "n" else (1, None)))
+                    n, bad = brute(events, arc)
+                    want[a, b, arrow, arc.label] = (n, n - bad)
+    assert got == want
+
+
+def test_discovery_queries_use_all_activities(spark, trade):
+    d, events = trade
+    acts = ("place", "ship_A", "ship_N", "ship_R")
+    rows = queries.QUERIES["negative_discover"](spark, d).collect()
+    got = {(r["source"], r["target"], r["arrow"], lettered(r["label"])) for r in rows}
+    types = lambda x: {o[0] for t, _, os in events if t == x for o in os}
+    want = set()
+    for a, b in itertools.permutations(acts, 2):
+        shared, good = sorted(types(a) & types(b)), []
+        for arrow in ("AS", "EF", "EP"):
+            for vec in itertools.product((0, ANY, ALL), repeat=len(shared)):
+                arc = Arc(a, b, arrow, Label((t, v) for t, v in zip(shared, vec, strict=True) if v), 0, 0)
+                n, bad = brute(events, arc)
+                if n - bad >= 0.9 * n:
+                    good.append(arc)
+        want |= {(x.source, x.target, x.arrow, x.label) for x in good if not any(y != x and y.below(x) for y in good)}
+    assert got <= want and any(a == "ship_N" for a, *_ in got) and any(b == "ship_N" for _, b, *_ in got)
+    found = queries.QUERIES["declare_discover"](spark, d).collect()
+    assert "ship_N" in {r["source"] for r in found} and "ship_N" in {r["target"] for r in found}
+    for r in found:
+        n, bad = brute(events, Arc(r["source"], r["target"], r["arrow"], lettered(r["label"]), 1, None))
+        assert bad <= 0.2 * n, r["text"]
+
+
+def test_discovery_queries_set_no_activities(spark, trade, monkeypatch):
+    """declare_projected, negative_reduced and negative_precision, by the options they pass on."""
+    d, _ = trade
+    seen = []
+    log = lambda f: lambda *a, **k: (seen.append((*a[1:], *k.values())), f(*a, **k))[1]
+    monkeypatch.setattr(declare, "discover", log(declare.discover))
+    monkeypatch.setattr(negative, "discover_reduced", log(negative.discover_reduced))
+    monkeypatch.setattr(declare, "candidate_table", log(declare.candidate_table))
+    for name in ("declare_projected", "negative_reduced", "negative_precision"):
+        assert queries.QUERIES[name](spark, d).columns
+    options = [x for args in seen for x in args if isinstance(x, declare.Options)]
+    assert len(seen) == 4 and len(options) == 3 and all(o.activities is None for o in options)
+    assert seen[-1] == (("AS", "EF", "EP"), True)
