@@ -376,3 +376,9 @@ def test_pipeline(spark, tmp_path):
     masked = {r["doc_id"]: (r["text"], r["n_chars"]) for r in spark.read.parquet(str(tmp_path / "secrets")).collect()}
     assert masked[500] == ("[SECRET] and some other words", 29)
     assert sorted(map(repr, pipeline.run(spark, str(d)).collect())) == sorted(map(repr, at.collect()))
+
+
+def test_toxicity_sample_is_not_cut(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic: (len(texts), sum(toxic)))
+    df = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("a few words").alias("text"))
+    assert toxicity.fit(df, df.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))) == (3000, 1500)
