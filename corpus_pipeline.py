@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from loomtrace.llm import jaccard, mixing, pieces, secrets, toxicity
 from loomtrace.llm._common import stored, table
 
+#: Words of a shingle and least similarity of near duplicates; op5 has a contract of its own.
+WORDS, SIMILAR = 5, (80, 100)
 #: Rows of findings that a broadcast may hold; beyond it the same join shuffles.
 BROADCAST_ROWS = 200_000
 
@@ -20,7 +22,7 @@ def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each group of near duplicates stays; rows without an id stay."""
-    found = jaccard.jaccard_components(docs.select("doc_id", "text"))
+    found = jaccard.jaccard_components(docs.select("doc_id", "text"), k=WORDS, num=SIMILAR[0], den=SIMILAR[1])
     gone = stored(found.filter("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
     kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(*docs.columns)
     ids = docs.filter("doc_id IS NOT NULL").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).first()

@@ -382,3 +382,12 @@ def test_toxicity_sample_is_not_cut(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "train", lambda texts, toxic: (len(texts), sum(toxic)))
     df = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("a few words").alias("text"))
     assert toxicity.fit(df, df.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))) == (3000, 1500)
+
+
+def test_pipeline_near_duplicates_by_five_words(spark):
+    """A copy with a fifth more text: apart by op5's contract, one document for the stage."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [*texts(), (900, " ".join(f"w{k}" for k in range(100)), "s0"), (901, " ".join(f"w{k}" for k in range(121)), "s0")]
+    assert brute_components(rows)[901][1] == 901
+    kept = {r["doc_id"] for r in pipeline._near_duplicates(spark, make(spark, rows), "").collect()}
+    assert kept == {i for i, (_, c) in brute_components(rows, 5, 80, 100).items() if i == c} and 901 not in kept
