@@ -32,11 +32,11 @@ def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def _secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked; every document stays."""
+    """Secrets are masked; every document stays. Findings depend on content alone, so rows without an id have theirs."""
     found, _ = secrets.scan_versions(docs, "doc_id", "text")
-    found = stored(found.filter(F.size("spans") > 0).select(F.col("doc_id").alias("k"), "blob", "spans").dropDuplicates(["k", "blob"]), "secrets")
+    found = stored(found.filter(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"]), "secrets")
     side = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
-    both = docs.join(side, (F.col("doc_id") == F.col("k")) & (secrets.blob_id(F.col("text")) == F.col("blob")), "left")
+    both = docs.join(side, secrets.blob_id(F.col("text")) == F.col("blob"), "left")
     masked = both.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(secrets.mask_spans(F.col("text"), F.col("spans"))))
     return masked.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 

@@ -55,7 +55,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, slopes=SLOPES, max_epochs:
     return level.select("source", "source_size", "weight", "slope", target.alias("target"))
 
 
-def mix(docs: DataFrame, size: Column | None = None, partial: bool = True, weights=WEIGHTS, slopes=SLOPES, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def mix(docs: DataFrame, size: Column | None = None, partial: bool = True, weights=WEIGHTS, slopes=SLOPES, max_epochs: int = MAX_EPOCHS, row: Column | None = None) -> DataFrame:
     """One row per document (doc_id, source, size, source_size, target, taken, copies, position, positions).
 
     Documents of a source stand in the order of the MD5 of their id and are taken round after
@@ -65,11 +65,13 @@ def mix(docs: DataFrame, size: Column | None = None, partial: bool = True, weigh
     the first of them (null if nothing is taken).
 
     Null text: size 0, never taken. Null source: a source of its own, ranked last. Repeated rows
-    count each for itself. An empty table gives an empty one. Other columns are ignored.
+    count each for itself. An empty table gives an empty one. Other columns are ignored. row: a
+    digest that breaks ties of the order and comes back as the column row.
     """
     size = word_count(F.col("text")) if size is None else size
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sizes = stored(docs.select("doc_id", "source", size.alias("size"), key.alias("h"), F.substring(key, 1, 3).alias("bucket")), "mix-sizes")
+    carried = [] if row is None else [row.alias("row")]
+    sizes = stored(docs.select("doc_id", "source", size.alias("size"), key.alias("h"), F.substring(key, 1, 3).alias("bucket"), *carried), "mix-sizes")
     targets = source_targets(sizes, weights, slopes, max_epochs)
     buckets = (
         sizes.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
@@ -77,7 +79,7 @@ def mix(docs: DataFrame, size: Column | None = None, partial: bool = True, weigh
     )
     plan = buckets.alias("b").join(targets.alias("t"), F.expr("b.source <=> t.source")).select(
         F.col("b.source").alias("p_source"), F.col("b.bucket").alias("p_bucket"), "before", "source_size", "target", "slope")
-    own = W.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    own = W.partitionBy("source", "bucket").orderBy("h", "doc_id", "size", *(["row"] if carried else [])).rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = sizes.withColumn("run", F.sum("size").over(own) - F.col("size")).join(
         plan, F.expr("source <=> p_source AND bucket = p_bucket"))
     start = F.col("before") + F.col("run")
@@ -89,10 +91,10 @@ def mix(docs: DataFrame, size: Column | None = None, partial: bool = True, weigh
         return F.round(F.when(b == 0, c).otherwise(((1 + b) - F.sqrt((1 + b) * (1 + b) - 4 * b * c)) / (2 * b)), 9)
 
     places = F.array_compact(F.array(*[F.when(t > 0, at(start + e * F.col("source_size"))) for e, t in enumerate(took)]))
-    out = rows.select("doc_id", "source", "size", "source_size", "target", sum(took[1:], took[0]).alias("taken"), places.alias("positions"))
+    out = rows.select("doc_id", "source", "size", "source_size", "target", sum(took[1:], took[0]).alias("taken"), places.alias("positions"), *(["row"] if carried else []))
     return out.select(
         "doc_id", "source", "size", "source_size", "target", "taken",
-        F.size("positions").cast("long").alias("copies"), F.get("positions", F.lit(0)).alias("position"), "positions")
+        F.size("positions").cast("long").alias("copies"), F.get("positions", F.lit(0)).alias("position"), "positions", *(["row"] if carried else []))
 
 
 def _taken(start: Column, size: Column, target: Column, partial: bool) -> Column:
@@ -106,10 +108,16 @@ def _taken(start: Column, size: Column, target: Column, partial: bool) -> Column
 def copies_in_order(docs: DataFrame, **options) -> DataFrame:
     """docs with each row as often as the mix takes it, sorted by range of training position.
 
-    Rows that share an id share what the mix takes of their first such row; rows without an id go.
+    Rows that share an id share what the mix takes of their first such row. Rows without an id are
+    known by a digest of all their columns: equal ones come as often as all of them are taken.
     """
-    plan = mix(docs, partial=False, **options).filter("copies > 0").groupBy("doc_id").agg(F.first("positions").alias("positions"))
-    return docs.join(plan, "doc_id").withColumn("position", F.explode("positions")).orderBy("position", "doc_id").select(*docs.columns)
+    row = F.when(F.col("doc_id").isNull(), F.sha2(F.to_json(F.struct(*docs.columns)), 256))
+    plan = stored(mix(docs, partial=False, row=row, **options).filter("copies > 0").select("doc_id", "row", "positions"), "mix-plan")
+    named = plan.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.first("positions").alias("positions"))
+    taken = docs.join(named, "doc_id").withColumn("position", F.explode("positions")).select(*docs.columns, "position")
+    nameless = docs.filter("doc_id IS NULL").withColumn("row", row).dropDuplicates(["row"]).join(
+        plan.filter("doc_id IS NULL").select("row", F.explode("positions").alias("position")), "row").select(*docs.columns, "position")
+    return taken.unionByName(nameless).orderBy("position", "doc_id").select(*docs.columns)
 
 
 def in_training_order(df: DataFrame) -> DataFrame:

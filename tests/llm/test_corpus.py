@@ -391,3 +391,22 @@ def test_pipeline_near_duplicates_by_five_words(spark):
     assert brute_components(rows)[901][1] == 901
     kept = {r["doc_id"] for r in pipeline._near_duplicates(spark, make(spark, rows), "").collect()}
     assert kept == {i for i, (_, c) in brute_components(rows, 5, 80, 100).items() if i == c} and 901 not in kept
+
+
+def test_pipeline_keeps_rows_without_an_id(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    secret = "token=abcdef1234567890 and some other words"
+    rows = [*texts(), (None, secret, "zz"), (None, secret, "zz"), (None, "same words", "s1"), (None, "same words", None), (None, None, "s1")]
+    docs = make(spark, rows).coalesce(2).persist()
+    masked = pipeline._secrets(spark, docs, "")
+    assert masked.count() == len(rows) and not masked.filter("contains(text, 'abcdef1234567890')").count()
+    assert [(r["text"], r["n_chars"]) for r in masked.filter("doc_id IS NULL AND source = 'zz'").collect()] == [("[SECRET] and some other words", 29)] * 2
+    want, got = collections.Counter(), collections.Counter()
+    for r in mixing.mix(masked, partial=False).filter("doc_id IS NULL").collect():
+        want[r["source"], r["size"]] += r["copies"]
+    out = pipeline._mixing(spark, masked, "").collect()
+    for r in out:
+        if r["doc_id"] is None:
+            got[r["source"], len(r["text"].split())] += 1
+    assert got == +want and sum(got.values()) >= 4
+    assert pipeline._encoding(spark, spark.createDataFrame(out, docs.schema), "").filter("doc_id IS NULL").count() == sum(got.values())
