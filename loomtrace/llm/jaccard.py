@@ -179,7 +179,8 @@ def _counts(docs: DataFrame, text: str, k: int) -> np.ndarray:
 
 
 def _describe(docs: DataFrame, text: str, k: int, limit: Threshold) -> DataFrame:
-    """(doc_id, n, sig, bits, keys): a task's second and later copies of a set show no keys."""
+    """(doc_id, n, sig, bits, keys): a task's second and later copies of a set show no keys, nor do rows
+    without an id."""
     frequent = docs.sparkSession.sparkContext.broadcast(_counts(docs, text, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,13 +189,13 @@ def _describe(docs: DataFrame, text: str, k: int, limit: Threshold) -> DataFrame
             for i in range(0, whole.num_rows, 2000):
                 batch = whole.slice(i, 2000)
                 n, sig, bits, keys = [], [], [], []
-                for t in batch.column(1).to_pylist():
+                for named, t in zip(batch.column(0).is_valid().to_pylist(), batch.column(1).to_pylist(), strict=True):
                     s = shingles(t, k, cache)
                     n.append(len(s))
                     sig.append(xxhash.xxh3_128_digest(s.tobytes()))
                     bits.append(_bit_sketch(s) if len(s) else np.zeros(0, np.int64))
-                    first = len(s) and sig[-1] not in seen
-                    if len(s):
+                    first = named and len(s) and sig[-1] not in seen
+                    if first:
                         seen.add(sig[-1])
                     rare = (~heavy[(s >> U(64 - COUNT_BITS)).astype(np.int64)]).astype(np.int64)
                     keys.append(np.concatenate(sketch_keys(s, rare, limit)).view(np.int64) if first else np.zeros(0, np.int64))

@@ -410,3 +410,11 @@ def test_pipeline_keeps_rows_without_an_id(spark):
             got[r["source"], len(r["text"].split())] += 1
     assert got == +want and sum(got.values()) >= 4
     assert pipeline._encoding(spark, spark.createDataFrame(out, docs.schema), "").filter("doc_id IS NULL").count() == sum(got.values())
+
+
+def test_jaccard_copies_without_an_id_hide_nothing(spark):
+    """A copy without an id stands before the only copy with one, in the same task."""
+    ws = [f"w{k}" for k in range(100)]
+    rows = [(None, " ".join(ws), "s"), (2, " ".join(ws), "s"), (1, " ".join([*ws[:99], "edited"]), "s")]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(make(spark, rows).coalesce(1)).collect()}
+    assert got == {None: None, 1: 1, 2: 1}
