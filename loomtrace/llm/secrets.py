@@ -25,14 +25,19 @@ BASE_RULES = {
     "access": (r"AKIA[A-Z0-9]+", 0, 20),
     "hex": (r"[0-9a-f]{24,}", 0, 24),
 }
+_PEM = r"[A-Z ]{0,30}PRIVATE KEY-----"
+#: A key whose END line is missing: its header lines, chunks of base64 and a short last chunk on a line of its own or
+#: with padding. Line ends may be escaped or quoted. Possessive, so the time is linear in the text.
+_GAP = r"(?:[\s\"',>#*]|\\[nrt])"
+_BODY = rf"(?:\s*+(?:Proc-Type|DEK-Info|Version|Comment):[^\r\n]*+)*+(?:{_GAP}*+[A-Za-z0-9+/]{{16,}}+={{0,2}}+)*+(?:{_GAP}++[A-Za-z0-9+/]{{1,15}}+={{1,2}}+|[\r\n]++[A-Za-z0-9+/]{{1,15}}+(?=[\r\n]|\Z))?+"
 #: What this operator adds to the base kinds.
 MORE_RULES = {
-    "pem": (r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 0, 1),
+    "pem": (rf"-----BEGIN {_PEM}(?:(?:[^-]|-(?!----))*+-----END {_PEM}|{_BODY})", 0, 1),
     "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
     "github": (r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
     "slack": (r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
     "bearer": (r"[Bb]earer\x20+[A-Za-z0-9_.~+/-]{20,}=*", 0, 1),
-    "urlcred": (r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@", 0, 1),
+    "urlcred": (r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]++:[^\s/:@]{3,}+@", 0, 1),
 }
 RULES = {**BASE_RULES, **MORE_RULES}
 #: A text without this cannot match the rule.

@@ -418,3 +418,18 @@ def test_jaccard_copies_without_an_id_hide_nothing(spark):
     rows = [(None, " ".join(ws), "s"), (2, " ".join(ws), "s"), (1, " ".join([*ws[:99], "edited"]), "s")]
     got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(make(spark, rows).coalesce(1)).collect()}
     assert got == {None: None, 1: 1, 2: 1}
+
+
+def test_secrets_cover_whole_keys():
+    body = hashlib.sha512(b"k").hexdigest() * 6
+    lines = "\n".join(body[i : i + 64] for i in range(0, len(body), 64)) + "\nAb3="
+    mark = "-----{} RSA PRIVATE KEY-----"
+    pem = lambda t: [t[s:e] for k, s, e in secrets.find_spans(t) if k == "pem"]
+    whole = f"{mark.format('BEGIN')}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n{lines}\n{mark.format('END')}"
+    assert pem(f"é {whole}\nwords {whole} words") == [whole, whole]
+    cut = f"{mark.format('BEGIN')}\n{lines}"
+    assert pem(f"a {cut}\nsome other words of prose") == [cut] and pem(cut.replace("\n", " ") + " and words") == [cut.replace("\n", " ")]
+    assert pem(f"see {mark.format('BEGIN')} and some words") == [mark.format("BEGIN")]
+    assert pem(f"{cut}\n{whole}") == [cut, whole]
+    link = "https://user:" + "p" * 90 + "@host"
+    assert secrets.find_spans(link) == [("urlcred", 0, len(link) - 4)]
