@@ -12,8 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Deepest suffix that is looked up, in labels; longer hosts still match by their last labels.
-MAX_LABELS = 12
 START = "2024-01-01"
 CATEGORIES = ("spam", "adult", "malware", "tracking")
 
@@ -24,11 +22,10 @@ def host(url: Column) -> Column:
     return F.nullif(F.regexp_replace(got, r"\.+$", ""), F.lit(""))
 
 
-def suffixes(of: Column) -> Column:
-    """Suffixes of a host, shortest first."""
-    parts = F.split(of, r"\.")
-    n = F.least(F.size(parts), F.lit(MAX_LABELS))
-    return F.transform(F.sequence(F.lit(1), n), lambda k: F.array_join(F.slice(parts, F.size(parts) - k + 1, k), "."))
+def suffixes(hosts: DataFrame) -> DataFrame:
+    """hosts with each suffix of their host and its depth in labels: a row for each, of any depth."""
+    deep = hosts.withColumn("depth", F.explode(F.sequence(F.lit(1), F.size(F.split("host", r"\.")))))
+    return deep.withColumn("suffix", F.expr("substring_index(host, '.', -depth)"))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -52,7 +49,7 @@ def filter_captures(captures: DataFrame, entries: DataFrame, key: str = "page_id
     """
     base = captures.drop("host", "entry", "category", "blocked").withColumn("host", host(F.col("url")))
     asked = base.filter("host IS NOT NULL AND fetched IS NOT NULL").select("host", "fetched").distinct()
-    deep = asked.select("host", "fetched", F.posexplode(suffixes(F.col("host"))).alias("depth", "suffix"))
+    deep = suffixes(asked)
     live = lambda s: (s["since"] <= F.col("fetched")) & (s["until"].isNull() | (F.col("fetched") < s["until"]))
     hit = deep.join(intervals(entries), "suffix").withColumn("now", F.get(F.filter("spans", live), F.lit(0))).filter("now IS NOT NULL")
     best = hit.groupBy("host", "fetched").agg(F.max(F.struct("depth", "suffix", F.col("now.category").alias("category"), F.col("now.blocked").alias("blocked"))).alias("m"))
@@ -74,7 +71,8 @@ def dated(pages: DataFrame) -> DataFrame:
 def list_from_hosts(pages: DataFrame) -> DataFrame:
     """A dated list over the hosts of pages and their parents, with the digest of a name as chance:
     a third of the names are listed, of them half are released and a quarter listed again."""
-    names = pages.select(F.explode(F.slice(F.reverse(suffixes(host(F.col("url")))), 1, 2)).alias("suffix")).filter("contains(suffix, '.')").distinct()
+    hosts = pages.select(host(F.col("url")).alias("host"))
+    names = hosts.select(F.explode(F.array("host", F.expr("substr(host, instr(host, '.') + 1)"))).alias("suffix")).filter("contains(suffix, '.')").distinct()
     s = F.col("suffix")
     chosen = names.filter(_number(s, 1, 2) % 3 == 0)
     first = F.date_add(F.to_date(F.lit(START)), (_number(s, 3, 3) % 200).cast("int"))

@@ -433,3 +433,12 @@ def test_secrets_cover_whole_keys():
     assert pem(f"{cut}\n{whole}") == [cut, whole]
     link = "https://user:" + "p" * 90 + "@host"
     assert secrets.find_spans(link) == [("urlcred", 0, len(link) - 4)]
+
+
+def test_urls_of_many_labels(spark):
+    day, deep = dt.date(2024, 1, 20), ".".join("abcdefghijklmno") + ".com"
+    e = spark.createDataFrame([(deep, dt.date(2024, 1, 1), "spam", True)], "suffix string, since date, category string, blocked boolean")
+    df = spark.createDataFrame([(1, f"http://{deep}/", day), (2, f"http://x.{deep}/", day), (3, f"http://{deep[2:]}/", day)], "page_id long, url string, fetched date")
+    assert [r["entry"] for r in urls.filter_captures(df, e).orderBy("page_id").collect()] == [deep, deep, None]
+    many = spark.range(60).selectExpr("id AS page_id", f"concat('http://h', id, '.{deep}/') AS url")
+    assert {len(r["suffix"].split(".")) for r in urls.list_from_hosts(many).collect()} <= {16, 17}
