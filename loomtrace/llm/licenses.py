@@ -1,7 +1,7 @@
 """License scans by a trained paragraph classifier.
 
-Sparse logistic regression over word n-grams gives each paragraph (a line) a licence family or
-none. It is trained on notices of each family, varied by dropped and added words, against ordinary
+Sparse logistic regression over word n-grams gives each paragraph (a line, or neighbouring lines
+of a hard-wrapped one) a licence family or none. It is trained on notices of each family, varied by dropped and added words, against ordinary
 prose about the same words. A temperature fitted on held-out variants calibrates the probabilities,
 so a paragraph that resembles no family ends in the unknown class. A prediction counts only if a
 template of its family, compared by shared n-grams, confirms it.
@@ -40,7 +40,8 @@ TEMPLATES = {
         "Licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-only", "Released under the LGPL v2.1.",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License."],
     "AGPL": [
-        "Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only", "Released under the AGPL v3."],
+        "Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only", "Released under the AGPL v3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation."],
     "BSD": [
         "Released under the BSD License.", "Licensed under the 3-clause BSD license.", "SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
@@ -90,6 +91,20 @@ class Classifier:
 
     def __post_init__(self) -> None:
         self.cues = frozenset(g for g in self.index if " " not in g)
+        self.notices = [t for ts in self.templates.values() for t in ts]
+        # a missing word loses a template at least its share of the n-grams that hold it
+        self.shares: list[dict[int, float]] = []
+        bits: dict[str, int] = {}
+        for t in self.notices:
+            share: dict[int, float] = {}
+            for g in t:
+                rare = {w for w in g.split(" ") if w not in _COMMON}
+                for w in rare:
+                    bit = bits.setdefault(w, 1 << len(bits))
+                    share[bit] = share.get(bit, 0.0) + 1 / len(rare) / len(t)
+            self.shares.append(share)
+        self.bits = bits
+        self.longest = max((sum(" " not in g for g in t) for t in self.notices), default=0)
 
     def chances(self, words: list[str]) -> np.ndarray:
         at = sorted({self.index[g] for g in _grams(words) if g in self.index})
@@ -108,6 +123,45 @@ class Classifier:
         like = max(len(mine & t) / len(t) for t in self.templates[self.families[k]])
         return (self.families[k] if like >= LEAST_LIKENESS else UNKNOWN), float(p[k]), like
 
+    def mask(self, words: list[str]) -> int:
+        """Which words of the templates are there, as bits."""
+        m = 0
+        for w in words:
+            m |= self.bits.get(w, 0)
+        return m
+
+    def near(self, mask: int) -> list[frozenset]:
+        """The templates that words of this mask may be like enough to."""
+        return [t for t, share in zip(self.notices, self.shares, strict=True) if sum(s for b, s in share.items() if b & mask) >= LEAST_LIKENESS - 1e-9]
+
+    def wrapped(self, lines: list[str], single: dict[int, str]) -> list[tuple[int, str, float, float]]:
+        """(first line, family, chance, likeness) of the notices that several lines of a paragraph
+        hold together. single: families of the lines that are notices by themselves; a window with
+        one of its own family is that line's. Of windows that overlap, the likest, then the shortest
+        holds. Windows end once the lines after the first hold five times the rare words of the longest template."""
+        split = [_words(x) for x in lines]
+        masks = [self.mask(ws) for ws in split]
+        got = []
+        for i, first in enumerate(split):
+            words, mask, more = list(first), masks[i], 0
+            if not masks[i]:
+                continue
+            for j in range(i + 1, len(lines)):
+                words, mask, more = words + split[j], mask | masks[j], more + len(split[j])
+                if masks[j] and (some := self.near(mask)):
+                    mine = frozenset(_grams(words))
+                    if any(len(mine & t) >= LEAST_LIKENESS * len(t) for t in some):
+                        family, p, like = self.judge(" ".join(lines[i : j + 1]))
+                        if family != UNKNOWN and all(single.get(k) != family for k in range(i, j + 1)):
+                            got.append((-like, j - i, i, j, family, p))
+                if more > 5 * self.longest:
+                    break
+        out: list[tuple[int, int, str, float, float]] = []
+        for like, _, i, j, family, p in sorted(got):
+            if all(j < a or b < i for a, b, *_ in out):
+                out.append((i, j, family, p, -like))
+        return [(i, family, p, like) for i, _, family, p, like in sorted(out)]
+
 
 def train(templates: dict[str, list[str]] = TEMPLATES, prose: list[str] = PROSE, seed: int = 5, rounds: int = 60) -> Classifier:
     """Fit on variants of the templates; a fifth of the variants is held out for the temperature."""
@@ -159,7 +213,8 @@ def train(templates: dict[str, list[str]] = TEMPLATES, prose: list[str] = PROSE,
 def scan(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
     """(doc_id, n_paragraphs, n_licensed, families, findings) of every whole text.
 
-    findings are (paragraph, family, chance, likeness) by paragraph number from 0; families are the
+    A notice is sought in each line and, hard-wrapped, in windows of neighbouring lines between blank
+    lines. findings are (paragraph, family, chance, likeness) by number of the (first) line from 0; families are the
     distinct ones, sorted, comma-joined. Lines of white space alone are no paragraphs but count in
     the numbering. A paragraph without any word the classifier knows is unknown by its bias, and
     each distinct paragraph is judged once for each batch. Null texts have no paragraphs. Repeated
@@ -168,21 +223,40 @@ def scan(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        judge, cues = sent.value.judge, sent.value.cues
+        model = sent.value
+        judge, cues, hopes = model.judge, model.cues, {}
         for pdf in batches:
             known: dict[str, tuple] = {}
             out: list[list] = [[], [], [], []]
             for t in pdf[text]:
                 lines = t.split("\n") if t else []
-                found = []
+                found, runs, at = [], [], None
                 for k, line in enumerate(lines):
                     got = known.get(line)
                     if got is None:
                         low = line.lower()
                         got = judge(line) if not cues.isdisjoint(_WORD.findall(low)) else (UNKNOWN, 1.0, 0.0)
-                        known[line] = got
+                        got = known[line] = (*got, model.mask(_words(line)))
+                    if not line.strip():
+                        at = None
+                    elif at is None:
+                        at = [k, k + 1, got[3]]
+                        runs.append(at)
+                    else:
+                        at[1], at[2] = k + 1, at[2] | got[3]
                     if got[0] != UNKNOWN:
                         found.append({"paragraph": k, "family": got[0], "chance": round(got[1], 6), "likeness": round(got[2], 6)})
+                for a, b, mask in runs:
+                    if b - a > 1:
+                        may = hopes.get(mask)
+                        if may is None:
+                            if len(hopes) > 100_000:
+                                hopes.clear()
+                            may = hopes[mask] = bool(model.near(mask))
+                        if may:
+                            single = {f["paragraph"] - a: f["family"] for f in found if a <= f["paragraph"] < b}
+                            found += [{"paragraph": a + k, "family": f, "chance": round(p, 6), "likeness": round(like, 6)} for k, f, p, like in model.wrapped(lines[a:b], single)]
+                found.sort(key=lambda f: (f["paragraph"], f["family"]))
                 out[0].append(sum(1 for x in lines if x.strip()))
                 out[1].append(len(found))
                 out[2].append(",".join(sorted({f["family"] for f in found})))

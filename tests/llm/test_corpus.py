@@ -442,3 +442,25 @@ def test_urls_of_many_labels(spark):
     assert [r["entry"] for r in urls.filter_captures(df, e).orderBy("page_id").collect()] == [deep, deep, None]
     many = spark.range(60).selectExpr("id AS page_id", f"concat('http://h', id, '.{deep}/') AS url")
     assert {len(r["suffix"].split(".")) for r in urls.list_from_hosts(many).collect()} <= {16, 17}
+
+
+def test_wrapped_licenses(spark):
+    """Notices as they stand in files, wrapped at 72 columns or less."""
+    notices = {
+        "GPL": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.",
+        "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell",
+        "BSD": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:",
+        "AGPL": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or",
+        "LGPL": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either",
+    }
+    m = licenses.train()
+    rows, want = [], {}
+    for k, (family, text) in enumerate(notices.items()):
+        for n, t in enumerate((text, "# " + text.replace("\n", "\n# "), "words of prose\nand more of it\n\nint x;\n" + " * " + text.replace("\n", "\n * "))):
+            rows.append((10 * k + n, t, "a"))
+            want[10 * k + n] = (1, family, 3 * (n == 2))
+    prose = "\n".join(licenses.PROSE)
+    rows += [(90, prose, "a"), (91, notices["GPL"].split("\n")[0] + "\n\n" + notices["GPL"].split("\n")[1], "a")]
+    got = {r["doc_id"]: (r["n_licensed"], r["families"], r["findings"][0]["paragraph"] if r["findings"] else None) for r in licenses.scan(make(spark, rows), m).collect()}
+    assert {i: (n, f, p in (at, at + 1)) for i, (n, f, p) in got.items() for at in want.get(i, ())[2:]} == {i: (n, f, True) for i, (n, f, at) in want.items()}
+    assert got[90] == got[91] == (0, "", None)
