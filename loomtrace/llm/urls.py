@@ -1,9 +1,10 @@
 """URL filters by a temporal list join.
 
 A list is a log of dated entries: from a day on, a host suffix has a category and is blocked or
-not, until its next entry. Entries become validity intervals, gathered once for each suffix; every
-capture looks up the suffixes of its host and takes, among the intervals that hold at its fetch
-time, the one of the longest suffix.
+not, until its next entry. Entries become validity intervals, one row each; every capture looks up
+the suffixes of its host and takes, among the intervals that hold at its fetch time, the one of the
+longest suffix. Intervals are dealt by suffix and stretch of time, so a capture meets only what held
+around its fetch time, and a suffix that a third of the captures have is split by time.
 """
 
 from __future__ import annotations
@@ -12,14 +13,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomtrace.llm._common import stored
+
 START = "2024-01-01"
 CATEGORIES = ("spam", "adult", "malware", "tracking")
+#: Days of a stretch of time that intervals are dealt by.
+STRETCH = 32
+#: Rows of dealt intervals that a broadcast may hold; beyond it the same join shuffles.
+BROADCAST_ROWS = 200_000
 
 
 def host(url: Column) -> Column:
-    """Lower-case host of a URL without user, port and final dot; null if there is none."""
-    got = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1))
-    return F.nullif(F.regexp_replace(got, r"\.+$", ""), F.lit(""))
+    """Lower-case host of a URL without user, port and final dots; null if there is none.
+
+    Blanks and controls around the URL go. The scheme may be missing (//host/x, or host.tld/x with a
+    dot in the host); a backslash ends the authority as a slash does. An IPv6 host comes without
+    brackets. Escapes and names in other scripts stay as written.
+    """
+    u = F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    full = F.regexp_extract(u, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?[/\\]{2}([^/?#\\]*)", 1)
+    bare = F.regexp_extract(u, r"^([^/?#\\:@\s]+\.[^/?#\\:@\s]*(?::[0-9]*)?)(?:[/?#\\]|$)", 1)
+    named = F.regexp_replace(F.when(full != "", full).otherwise(bare), "^.*@", "")
+    got = F.when(named.startswith("["), F.regexp_extract(named, r"^\[([^\]]*)", 1)).otherwise(F.regexp_extract(named, "^([^:]*)", 1))
+    return F.nullif(F.regexp_replace(F.lower(got), r"\.+$", ""), F.lit(""))
 
 
 def suffixes(hosts: DataFrame) -> DataFrame:
@@ -29,33 +45,45 @@ def suffixes(hosts: DataFrame) -> DataFrame:
 
 
 def intervals(entries: DataFrame) -> DataFrame:
-    """(suffix, spans) of entries (suffix, since, category, blocked): each entry holds from its
-    date up to the next one of its suffix. Of entries of one suffix and date the blocking one
-    holds, then the one of the first category. Entries without suffix or date are left out."""
-    one = entries.filter("suffix IS NOT NULL AND since IS NOT NULL").groupBy("suffix", "since").agg(
+    """(suffix, since, until, category, blocked) of entries (suffix, since, category, blocked): each
+    entry holds from its date up to the next one of its suffix. Suffixes are lower-cased; a leading
+    "*." or "." and final dots go. Of entries of one suffix and date the blocking one holds, then the
+    one of the first category. Entries without suffix or date are left out; blocked null is false."""
+    clean = F.regexp_replace(F.lower(F.trim("suffix")), r"^\*?\.+|\.+$", "")
+    one = entries.select(clean.alias("suffix"), "since", "category", "blocked").filter("suffix <> '' AND since IS NOT NULL").groupBy("suffix", "since").agg(
         F.min(F.struct(F.when(F.col("blocked"), 0).otherwise(1).alias("k"), "category")).alias("e"))
     until = F.lead("since").over(W.partitionBy("suffix").orderBy("since"))
-    spans = one.select("suffix", "since", until.alias("until"), F.col("e.category").alias("category"), (F.col("e.k") == 0).alias("blocked"))
-    return spans.groupBy("suffix").agg(F.sort_array(F.collect_list(F.struct("since", "until", "category", "blocked"))).alias("spans"))
+    return one.select("suffix", "since", until.alias("until"), F.col("e.category").alias("category"), (F.col("e.k") == 0).alias("blocked"))
+
+
+def _stretch(at: Column) -> Column:
+    return F.floor(F.datediff(F.to_date(at), F.lit("1970-01-01").cast("date")) / STRETCH).cast("int")
 
 
-def filter_captures(captures: DataFrame, entries: DataFrame, key: str = "page_id") -> DataFrame:
+def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """captures with host, entry (the deciding suffix), category and blocked (false without entry).
 
-    captures have key, url and fetched. Null or unreadable URLs have a null host; they and captures
-    without a fetch time match nothing. Repeated rows stay. Columns named host, entry, category or
-    blocked are replaced. Distinct (host, fetch time) pairs are looked up once, so a host with a
-    third of the captures is one row of the lookup for each of its times.
+    captures have url and fetched (a date or a timestamp). Null or unreadable URLs have a null host;
+    they and captures without a fetch time match nothing. Of the intervals that hold, the longest
+    suffix decides; a suffix has one interval at a time, so there are no ties. Repeated rows stay. An
+    empty list blocks nothing, an empty table stays empty. Columns named host, entry, category or
+    blocked are replaced; all others stay, whatever their names. Distinct (host, fetch time) pairs are
+    looked up once.
     """
-    base = captures.drop("host", "entry", "category", "blocked").withColumn("host", host(F.col("url")))
+    own = [c for c in captures.columns if c.lower() not in ("host", "entry", "category", "blocked")]
+    base = captures.select(F.struct(*own).alias("row"), host(F.col("url")).alias("host"), F.col("fetched").alias("fetched"))
     asked = base.filter("host IS NOT NULL AND fetched IS NOT NULL").select("host", "fetched").distinct()
-    deep = suffixes(asked)
-    live = lambda s: (s["since"] <= F.col("fetched")) & (s["until"].isNull() | (F.col("fetched") < s["until"]))
-    hit = deep.join(intervals(entries), "suffix").withColumn("now", F.get(F.filter("spans", live), F.lit(0))).filter("now IS NOT NULL")
-    best = hit.groupBy("host", "fetched").agg(F.max(F.struct("depth", "suffix", F.col("now.category").alias("category"), F.col("now.blocked").alias("blocked"))).alias("m"))
-    best = best.select(F.col("host").alias("h"), F.col("fetched").alias("f"), "m")
-    return base.join(best, (F.col("host") == F.col("h")) & (F.col("fetched") == F.col("f")), "left").select(
-        *base.columns, F.col("m.suffix").alias("entry"), F.col("m.category").alias("category"), F.coalesce("m.blocked", F.lit(False)).alias("blocked"))
+    seen = captures.agg(F.min("fetched").alias("lo"), F.max("fetched").alias("hi"))
+    live = intervals(entries).join(F.broadcast(seen), F.expr("since <= hi AND (until IS NULL OR until > lo)"))
+    dealt = stored(live.select(
+        F.col("suffix").alias("listed"), "since", "until", "category", "blocked",
+        F.explode(F.sequence(_stretch(F.greatest("since", "lo")), _stretch(F.least(F.coalesce("until", "hi"), "hi")))).alias("at")), "url-intervals")
+    side = F.broadcast(dealt) if dealt.count() <= BROADCAST_ROWS else dealt
+    deep = suffixes(asked).withColumn("stretch", _stretch(F.col("fetched")))
+    hit = deep.join(side, F.expr("suffix = listed AND stretch = at AND since <= fetched AND (until IS NULL OR fetched < until)"))
+    best = hit.groupBy("host", "fetched").agg(F.max(F.struct("depth", "suffix", "category", "blocked")).alias("m"))
+    return base.join(best, ["host", "fetched"], "left").select(
+        "row.*", "host", F.col("m.suffix").alias("entry"), F.col("m.category").alias("category"), F.coalesce("m.blocked", F.lit(False)).alias("blocked"))
 
 
 def _number(text: Column, start: int, n: int) -> Column:
@@ -84,10 +112,17 @@ def list_from_hosts(pages: DataFrame) -> DataFrame:
 
 
 ORACLE = r"""
-WITH p AS (SELECT page_id, url, nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.+$', ''), '') AS host,
-                  DATE '2024-01-01' + (page_id % 366)::INT AS fetched FROM pages),
+WITH b AS (SELECT page_id, url, replace(trim(url), '\', '/') AS t FROM pages),
+s AS (SELECT *, strpos(t, '//') AS p FROM b),
+a AS (SELECT *, CASE WHEN p = 1 OR (p > 2 AND substr(t, p - 1, 1) = ':' AND strpos(substr(t, 1, p - 1), '/') = 0 AND strpos(substr(t, 1, p - 1), '?') = 0 AND strpos(substr(t, 1, p - 1), '#') = 0)
+                     THEN split_part(split_part(split_part(substr(t, p + 2), '/', 1), '?', 1), '#', 1)
+                     WHEN contains(split_part(split_part(split_part(split_part(t, '/', 1), '?', 1), '#', 1), ':', 1), '.') AND NOT contains(split_part(t, '/', 1), '@')
+                     THEN split_part(split_part(split_part(t, '/', 1), '?', 1), '#', 1) END AS authority FROM s),
+h AS (SELECT *, string_split(authority, '@')[-1] AS named FROM a),
+p AS (SELECT page_id, url, nullif(rtrim(lower(CASE WHEN starts_with(named, '[') THEN split_part(substr(named, 2), ']', 1) ELSE split_part(named, ':', 1) END), '.'), '') AS host,
+             DATE '2024-01-01' + (page_id % 366)::INT AS fetched FROM h),
 l AS (SELECT *, string_split(host, '.') AS parts FROM p),
-deep AS (SELECT page_id, fetched, k, array_to_string(parts[len(parts) - k + 1 : len(parts)], '.') AS suffix FROM l, unnest(range(1, least(len(parts), 12) + 1)) AS t(k)),
+deep AS (SELECT page_id, fetched, k, array_to_string(parts[len(parts) - k + 1 : len(parts)], '.') AS suffix FROM l, unnest(range(1, len(parts) + 1)) AS t(k)),
 names AS (SELECT DISTINCT array_to_string(parts[i : len(parts)], '.') AS suffix FROM l, unnest(range(1, least(len(parts), 2) + 1)) AS t(i)),
 n AS (SELECT suffix, md5(suffix) AS h FROM names WHERE contains(suffix, '.')),
 c AS (SELECT suffix, DATE '2024-01-01' + (('0x' || substr(h, 3, 3))::BIGINT % 200)::INT AS d, ('0x' || substr(h, 6, 1))::BIGINT % 4 AS kind,
