@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomtrace.llm._common import SEPARATORS, stored
+from loomtrace.llm._common import SEPARATORS, fresh, stored
 
 #: Weights and curriculum slopes by rank of the source, repeating.
 WEIGHTS = (1, 2, 3)
@@ -34,7 +34,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, slopes=SLOPES, max_epochs:
     Targets share the sum of all sizes by weight; none is above max_epochs times its source, and
     what is cut off goes to the others by weight. With ratio r = cap / weight, the cut sources are
     the first of the order by r. Cutting one too many lowers the level, so the level is the largest
-    of those that are consistent: running sums find it, no iteration does.
+    of those that are consistent: running sums find it, no iteration does. The running sums go over
+    one row per source in one task (about 40 bytes a source; the sort may spill).
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     ranked = per.withColumn("k", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1)
@@ -58,18 +59,19 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, slopes=SLOPES, max_epochs:
 def mix(docs: DataFrame, size: Column | None = None, partial: bool = True, weights=WEIGHTS, slopes=SLOPES, max_epochs: int = MAX_EPOCHS, row: Column | None = None) -> DataFrame:
     """One row per document (doc_id, source, size, source_size, target, taken, copies, position, positions).
 
-    Documents of a source stand in the order of the MD5 of their id and are taken round after
-    round until the demand is met. partial: the last copy may be cut to the demanded words; else
-    whole copies are taken, a copy if its middle lies within the demand. taken is in words,
-    copies counts (partial) copies, positions are their training times in [0, 1], and position is
-    the first of them (null if nothing is taken).
+    Documents of a source stand in the order of the MD5 of their id (without an id, of their text)
+    and are taken round after round until the demand is met. partial: the last copy may be cut to
+    the demanded words; else whole copies are taken, a copy if its middle lies within the demand.
+    taken is in words, copies counts (partial) copies, positions are their training times in [0, 1],
+    and position is the first of them (null if nothing is taken).
 
     Null text: size 0, never taken. Null source: a source of its own, ranked last. Repeated rows
-    count each for itself. An empty table gives an empty one. Other columns are ignored. row: a
-    digest that breaks ties of the order and comes back as the column row.
+    count each for itself; rows that tie in id and size are alike, so their order changes nothing
+    but which of them is taken. Very long texts count whole. An empty table gives an empty one. Other
+    columns are ignored. row: a digest that breaks ties of the order and comes back as the column row.
     """
     size = word_count(F.col("text")) if size is None else size
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("n"), F.md5(F.coalesce(F.col("text"), F.lit(""))))))
     carried = [] if row is None else [row.alias("row")]
     sizes = stored(docs.select("doc_id", "source", size.alias("size"), key.alias("h"), F.substring(key, 1, 3).alias("bucket"), *carried), "mix-sizes")
     targets = source_targets(sizes, weights, slopes, max_epochs)
@@ -108,16 +110,22 @@ def _taken(start: Column, size: Column, target: Column, partial: bool) -> Column
 def copies_in_order(docs: DataFrame, **options) -> DataFrame:
     """docs with each row as often as the mix takes it, sorted by range of training position.
 
-    Rows that share an id share what the mix takes of their first such row. Rows without an id are
-    known by a digest of all their columns: equal ones come as often as all of them are taken.
+    Rows are known by a digest of all their columns, so rows without an id or with a shared one are
+    taken each for itself; rows equal in every column come as often as all of them are taken. An
+    empty table gives an empty one. docs may have further columns of any name: they come back
+    unchanged.
     """
-    row = F.when(F.col("doc_id").isNull(), F.sha2(F.to_json(F.struct(*docs.columns)), 256))
-    plan = stored(mix(docs, partial=False, row=row, **options).filter("copies > 0").select("doc_id", "row", "positions"), "mix-plan")
-    named = plan.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.first("positions").alias("positions"))
-    taken = docs.join(named, "doc_id").withColumn("position", F.explode("positions")).select(*docs.columns, "position")
-    nameless = docs.filter("doc_id IS NULL").withColumn("row", row).dropDuplicates(["row"]).join(
-        plan.filter("doc_id IS NULL").select("row", F.explode("positions").alias("position")), "row").select(*docs.columns, "position")
-    return taken.unionByName(nameless).orderBy("position", "doc_id").select(*docs.columns)
+    row = F.sha2(F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"}), 256)
+    plan = stored(mix(docs, partial=False, row=row, **options).filter("copies > 0").select(F.col("row").alias("digest"), "positions"), "mix-plan")
+    again = stored(plan.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"), "mix-again")
+    packed = docs.select(F.struct(*docs.columns).alias("whole"), row.alias("digest"))
+    if again.isEmpty():
+        taken = packed.join(plan, "digest")
+    else:  # one row stands for its equals
+        one = packed.join(again, "digest", "left_semi").groupBy("digest").agg(F.first("whole").alias("whole"))
+        taken = packed.join(again, "digest", "left_anti").join(plan, "digest").unionByName(one.join(plan, "digest").select("digest", "whole", "positions"), allowMissingColumns=False)
+    out = taken.select("whole", F.explode("positions").alias("position"))
+    return out.orderBy("position", "whole.doc_id", F.xxhash64("whole.text")).select("whole.*")
 
 
 def in_training_order(df: DataFrame) -> DataFrame:
@@ -125,9 +133,14 @@ def in_training_order(df: DataFrame) -> DataFrame:
     return df.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
+def times(positions: Column) -> list[Column]:
+    """position_2, position_3, ...: training times of the later copies, null where there is none."""
+    return [F.get(positions, F.lit(e)).alias(f"position_{e + 1}") for e in range(1, MAX_EPOCHS)]
+
+
 ORACLE = r"""
 WITH s AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-                  md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+                  md5(coalesce(doc_id::VARCHAR, 'n' || md5(coalesce(text, '')))) AS h FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size FROM s GROUP BY source),
 k AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS m FROM per),
 w AS (SELECT source, source_size, m + 1 AS weight, CASE m WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 0.0::DOUBLE ELSE -0.5::DOUBLE END AS b,
@@ -139,9 +152,11 @@ c AS (SELECT s.doc_id, s.size, t.source_size, t.target, t.b, floor(t.target + 0.
              (sum(s.size) OVER (PARTITION BY s.source ORDER BY s.h, s.doc_id, s.size ROWS UNBOUNDED PRECEDING) - s.size)::BIGINT AS start
       FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
 x AS (SELECT *, greatest(0, least(size, d - start)) + greatest(0, least(size, d - start - source_size)) + greatest(0, least(size, d - start - 2 * source_size)) AS taken,
-             least(1.0::DOUBLE, start / target) AS c FROM c)
+             unnest([0, 1, 2]) AS e FROM c),
+y AS (SELECT *, greatest(0, least(size, d - start - e * source_size)) > 0 AS now, least(1.0::DOUBLE, (start + e * source_size) / target) AS c FROM x),
+z AS (SELECT *, CASE WHEN now THEN round(CASE WHEN b = 0 THEN c ELSE ((1 + b) - sqrt((1 + b) * (1 + b) - 4 * b * c)) / (2 * b) END, 9) + 0.0 END AS tm FROM y)
 SELECT doc_id, size, source_size, target, taken::BIGINT AS taken,
-       CASE WHEN taken > 0 THEN ceil(taken / size)::BIGINT ELSE 0 END AS copies,
-       CASE WHEN taken > 0 THEN round(CASE WHEN b = 0 THEN c ELSE ((1 + b) - sqrt((1 + b) * (1 + b) - 4 * b * c)) / (2 * b) END, 9) + 0.0 END AS position
-FROM x
+       CASE WHEN taken > 0 THEN ceil(taken / size)::BIGINT ELSE 0 END AS copies, tm AS position,
+       b1 AS position_2, b2 AS position_3
+FROM (SELECT *, lead(tm, 1) OVER w AS b1, lead(tm, 2) OVER w AS b2 FROM z WINDOW w AS (PARTITION BY doc_id, size, source_size, target, start ORDER BY e)) WHERE e = 0
 """
