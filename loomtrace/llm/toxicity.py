@@ -25,8 +25,9 @@ from pyspark.sql import types as T
 WIDTH, STRIDE = 24, 12
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 8, 8, 8
 TRIGRAMS = 4096
-#: Bounds of the labelled sample (texts of each class) and of the vocabulary learned from it.
-SAMPLE_PER_CLASS, VOCABULARY = 1500, 20_000
+#: Bounds of the labelled sample (texts of each class, characters of a text that it may hold) and of
+#: the vocabulary learned from it.
+SAMPLE_PER_CLASS, SAMPLE_CHARS, VOCABULARY = 1500, 200_000, 20_000
 STEPS, BATCH, RATE = 300, 192, 0.01
 #: Distinct words whose inputs a task keeps at once, and characters of texts taken together.
 CACHE, BLOCK = 120_000, 500_000
@@ -253,9 +254,6 @@ def train(texts: list[str], toxic: list[int], seed: int = 7, steps: int = STEPS)
         return net
     pick = {i: by_odds(i) for i in [*pos, *neg]}
     first = dict(pick)
-    proof = {i: max((odds.get(w, 0.0) for w in cut(i, pick[i])), default=0.0) for i in pos}
-    least = min(max(3.0, 0.3 * max(proof.values())), max(proof.values()))
-    pos = [i for i in pos if proof[i] >= least]  # labels are noisy: a toxic text without evidence teaches nothing
     for step in range(steps):
         if step in (steps // 2, 3 * steps // 4):  # from here on the network itself says which window stands for a text
             for i, s in zip([*pos, *neg], worst_of(net, [texts[i] for i in [*pos, *neg]])[1], strict=True):
@@ -300,19 +298,26 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Network:
-    """Train on at most per_class labelled texts of each class, those of least hash, none held out."""
-    rows = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
+    """Train on at most per_class labelled ids of each class, those of least hash, none held out.
+
+    One text stands for each id and label, the one of least hash, so repeated rows do not grow the
+    sample; texts of more than SAMPLE_CHARS characters are scored but not learned from. Null texts
+    are empty. Null ids and labels teach nothing.
+    """
+    rows = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", "toxic").filter(~held_out(F.col("doc_id"))).distinct()
     pick = [rows.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
-    got = docs.select("doc_id", "text").join(F.broadcast(pick[0].unionByName(pick[1])), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").collect()
-    return train([r["text"] or "" for r in got], [int(r["toxic"]) for r in got])
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.length("text") <= SAMPLE_CHARS)
+    one = texts.join(F.broadcast(pick[0].unionByName(pick[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    got = one.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").collect()
+    return train([r["text"] for r in got], [int(r["toxic"]) for r in got])
 
 
-def score(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
-    """docs with score, a double from 0 to 1; the other columns stay as they are.
+def score(docs: DataFrame, net: Network, text: str = "text", out: str = "score") -> DataFrame:
+    """docs with a column out, a double from 0 to 1; the other columns stay as they are.
 
     Null and empty texts are one empty window. Very long texts are scored whole, in blocks of
-    windows. Repeated rows score alike; an empty table stays empty. A column named score is
-    replaced.
+    windows; of equally bad windows the first is the worst. Repeated rows score alike, null ids as
+    all others; an empty table stays empty. A column named as out is replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
@@ -320,7 +325,7 @@ def score(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
         model = sent.value
         cache = Inputs(model)
         for batch in batches:
-            texts, out, i = batch.column(text).to_pylist(), [], 0
+            texts, tops, i = batch.column(text).to_pylist(), [], 0
             while i < len(texts):
                 j, chars = i, 0
                 while j < len(texts) and (j == i or chars + len(texts[j] or "") < BLOCK):
@@ -328,11 +333,11 @@ def score(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
                     j += 1
                 if len(cache) > CACHE:
                     cache = Inputs(model)
-                out.append(worst(model, texts[i:j], cache)[0])
+                tops.append(worst(model, texts[i:j], cache)[0])
                 i = j
-            top = np.concatenate(out) if out else np.zeros(0)
+            top = np.concatenate(tops) if tops else np.zeros(0)
             chance = 1 / (1 + np.exp(-np.clip(model.scale * top.astype(float) + model.shift, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chance, pa.float64())], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chance, pa.float64())], [*batch.schema.names, out])
 
-    base = docs.drop("score")
-    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField("score", T.DoubleType())]))
+    base = docs.drop(out)
+    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField(out, T.DoubleType())]))
