@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtrace.llm import imatch, jaccard, licenses, mixing, pieces, rules, secrets, substrings, toxicity, urls
-from loomtrace.llm._common import table
+from loomtrace.llm._common import stored, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +15,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secrets.scan_versions(table(spark, sf_dir, "documents"), "doc_id", "text")
+    """Two runs of one ledger: the first has the blobs whose digest starts with 0 to 7, as an earlier
+    state of the corpus; the second has all rows and scans only what the ledger lacks."""
+    docs = table(spark, sf_dir, "documents")
+    _, ledger = secrets.scan_versions(docs.filter(secrets.blob_id(F.col("text")) < "8"), "doc_id", "text")
+    found, _ = secrets.scan_versions(docs, "doc_id", "text", stored(ledger, "secret-ledger"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
         "doc_id", *map(count, secrets.BASE_RULES), F.sha2(secrets.digest(F.col("spans"), tuple(secrets.BASE_RULES)), 256).alias("base_sha256"),
@@ -28,7 +32,8 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.in_training_order(mixing.mix(table(spark, sf_dir, "documents")).drop("source", "positions"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.in_training_order(mixed.select("*", *mixing.times(F.col("positions"))).drop("source", "positions"))
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ that the ledger lacks, one representative per blob, and joins the findings back
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 
@@ -43,6 +44,8 @@ RULES = {**BASE_RULES, **MORE_RULES}
 #: A text without this cannot match the rule.
 NEEDLES = {"access": "AKIA", "pem": "-----BEGIN ", "jwt": "eyJ", "github": "gh", "slack": "xox", "bearer": "earer", "urlcred": "://"}
 RULE_VERSION = hashlib.sha256(repr(sorted(RULES.items())).encode()).hexdigest()[:16]
+#: New digests that a broadcast may hold, and bits of the bitmap that serves beyond it.
+BROADCAST_ROWS, MARK_BITS = 200_000, 24
 FINDINGS = "spans array<struct<kind:string,start:int,end:int>>"
 
 
@@ -82,28 +85,51 @@ def scan_versions(versions: DataFrame, key: str, content: str, ledger: DataFrame
     caller appends to the ledger: every blob scanned now, clean ones with null spans, so that they
     are not scanned again.
 
-    Only ids and digests are grouped. The text is dealt by key for the one representative of each
-    blob, so a blob that has a third of all versions is read once and moves no text twice.
-    Null content is the empty blob. Null and repeated keys are kept as they are. Empty tables give
-    empty ones.
+    Which blobs are new is decided on ids and digests alone. Only texts of new blobs move: a broadcast
+    of the new digests, or beyond its bound a bitmap of them of fixed size, stops the others at the
+    scan. Copies are merged in each task before they are dealt by blob, so a blob that has a third of
+    all versions moves once for each task and is scanned once.
+    Null content is the empty blob. Null and repeated keys and repeated rows are kept as they are.
+    Of a ledger's repeated pairs any counts, as they are equal. Very long contents are scanned whole.
+    Empty tables give empty ones. Columns other than key and content are not read.
     """
     blob = blob_id(F.col(content))
     ids = versions.select(F.col(key).alias("key"), blob.alias("blob"))
-    row = F.xxhash64("key", "blob").alias("row")  # a key may be null, or bring several contents
-    first = ids.select("blob", row).groupBy("blob").agg(F.min("row").alias("row"))
-    if ledger is not None:
-        first = first.join(ledger.filter(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
-    first = stored(first, "secret-unseen")
-    texts = versions.select(F.col(key).alias("key"), blob.alias("blob"), F.col(content).cast("string").alias("content")).filter("length(content) > 0")
-    unseen = texts.select(row, "content").join(first, "row").select("blob", "content")
-    found = stored(unseen.mapInPandas(_scan, f"blob string, {FINDINGS}").dropDuplicates(["blob"]), "secret-findings")
-    fresh = first.select("blob").join(found, "blob", "left").select("blob", F.lit(rule_version).alias("rule_version"), "spans")
-    known = found.select("blob", "spans")
-    if ledger is not None:
-        known = known.unionByName(ledger.filter((F.col("rule_version") == rule_version) & F.col("spans").isNotNull()).select("blob", "spans"))
+    texts = versions.select(blob.alias("blob"), F.col(content).cast("string").alias("content")).filter("length(content) > 0")
+    known = None
+    if ledger is None:
+        found = texts.groupBy("blob").agg(F.first("content").alias("content"))
+        fresh = ids.select("blob").distinct()
+    else:
+        known = ledger.filter(F.col("rule_version") == rule_version).select("blob", "spans")
+        fresh = stored(ids.select("blob").distinct().join(known.select("blob"), "blob", "left_anti"), "secret-unseen")
+        n = fresh.count()
+        if n <= BROADCAST_ROWS:
+            found = texts.join(F.broadcast(fresh), "blob", "left_semi").groupBy("blob").agg(F.first("content").alias("content"))
+        else:
+            found = texts.filter(_marked(fresh)).groupBy("blob").agg(F.first("content").alias("content")).join(fresh, "blob", "left_semi")
+    found = stored(found.mapInPandas(_scan, f"blob string, {FINDINGS}"), "secret-findings")
+    new = fresh.join(found, "blob", "left").select("blob", F.lit(rule_version).alias("rule_version"), "spans")
+    hits = found.select("blob", "spans")
+    if known is not None:
+        hits = hits.unionByName(known.filter("spans IS NOT NULL").groupBy("blob").agg(F.first("spans").alias("spans")))
     empty = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    back = ids.join(known, "blob", "left").select(F.col("key").alias(key), "blob", F.coalesce("spans", empty).alias("spans"))
-    return back, fresh
+    back = ids.join(hits, "blob", "left").select(F.col("key").alias(key), "blob", F.coalesce("spans", empty).alias("spans"))
+    return back, new
+
+
+def _slot(blob: Column) -> Column:
+    return F.conv(F.substring(blob, 1, MARK_BITS // 4), 16, 10).cast("long")
+
+
+def _marked(blobs: DataFrame) -> Column:
+    """Whether a row's blob may be among blobs: a bitmap over the first bits of the digests."""
+    bits = blobs.select(_slot(F.col("blob")).alias("slot")).groupBy(F.shiftright("slot", 6).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
+    table = [0] * (1 << (MARK_BITS - 6))
+    for r in bits.collect():  # as many rows as the bitmap has numbers, at most
+        table[r["k"]] = r["bits"]
+    word = F.get(F.from_json(F.lit(json.dumps(table)), "array<bigint>"), F.shiftright(_slot(F.col("blob")), 6).cast("int"))
+    return F.call_function("shiftrightunsigned", word, _slot(F.col("blob")).bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
 
 
 def digest(spans: Column, kinds: tuple[str, ...] | None = None) -> Column:
