@@ -19,10 +19,9 @@ from loomtrace.llm._common import SEPARATOR_CHARS, let, words
 SYMBOLS = "#*$%&|<>"
 #: Bound of the labelled sample that the list is learned from, in rows.
 SAMPLE_ROWS = 6000
-#: Thresholds tried for each feature: quantiles of the sample.
+#: Thresholds tried for each feature: as many quantiles of the sample (a parameter of the search, which
+#: drops no row). Rules and literals have no bound but the gain.
 BINS = 24
-MAX_RULES = 12
-MAX_LITERALS = 4
 
 FEATURES = {
     "words": "n_words",
@@ -122,7 +121,11 @@ def _holds(row, literal) -> bool:
 
 
 def learn(rows: list[tuple], names: list[str], bad: list[bool]) -> list[Rule]:
-    """Rules for the rows marked bad, which are the smaller class; a row is a tuple of features."""
+    """Rules for the rows marked bad, which are the smaller class; a row is a tuple of features.
+
+    Of literals of equal gain the first by feature, threshold and sign is taken; of prefixes of
+    equal worth the longest. Every third row left is kept from growing, for pruning.
+    """
     if not rows:
         return []
     cuts = []
@@ -135,13 +138,13 @@ def learn(rows: list[tuple], names: list[str], bad: list[bool]) -> list[Rule]:
     left = list(range(len(rows)))
     prior = sum(bad) / max(1, len(bad))
     rules: list[Rule] = []
-    while len(rules) < MAX_RULES:
+    while True:
         grow, prune = [i for i in left if i % 3], [i for i in left if i % 3 == 0]
         pos, neg = [i for i in grow if bad[i]], [i for i in grow if not bad[i]]
         if not pos:
             break
         rule: list = []
-        while neg and len(rule) < MAX_LITERALS:
+        while neg:
             base = math.log2(len(pos) / (len(pos) + len(neg)))
             best, gain = None, 1e-9
             for k, sign, x in every:
@@ -177,13 +180,15 @@ def learn(rows: list[tuple], names: list[str], bad: list[bool]) -> list[Rule]:
 def learn_rules(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The decision list from labels (doc_id, quality); at most sample_rows labelled rows are used.
 
-    The sample is the rows of least hash, so a rerun takes the same. Its size is bounded by the
-    parameter, hence it may be broadcast, and only its texts get statistics here. Texts that the
-    base rules drop anyway teach nothing.
+    The sample is the labels of least hash, so a rerun takes the same. Its size is bounded by the
+    parameter, hence it may be broadcast, and only its texts get statistics here. One row stands for
+    each label, the one of least statistics, so repeated rows don't grow the sample. Texts that the
+    base rules drop anyway teach nothing, nor do null ids and labels.
     """
-    pick = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows)
+    pick = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "quality").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id")
-    got = statistics(texts).select("doc_id", "quality", base_failed().alias("failed"), *features()).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    each = statistics(texts).select("doc_id", "quality", F.struct(base_failed().alias("failed"), *features()).alias("f"))
+    got = each.groupBy("doc_id", "quality").agg(F.min("f").alias("f")).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").select("quality", "f.*").collect()
     got = [r for r in got if not r["failed"]]  # here: as a filter it would move below the join, to all texts
     names = list(FEATURES)
     return learn([tuple(r[f"f_{k}"] for k in names) for r in got], names, [r["quality"] == 0 for r in got])
@@ -209,8 +214,9 @@ def apply_rules(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """docs' statistics with base_failed, kept and the deciding rule.
 
     base_failed: fewer than 50 words, or repeats over half of the words. Null and empty texts have
-    no words, so they fail. Repeated rows are judged alike, an empty table stays empty, and columns
-    of docs other than doc_id and text are not carried.
+    no words, so they fail; very long ones are judged whole. Null ids and repeated rows are judged as
+    all others, of rules that hold the first decides, an empty table stays empty, and columns of docs
+    other than doc_id and text are not read.
     """
     s = statistics(docs.select("doc_id", "text")).drop("text").select("*", *features())
     failed = base_failed()
