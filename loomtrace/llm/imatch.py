@@ -1,11 +1,12 @@
 """I-Match fingerprints with randomised lexicon subsets. DataFrame operations only.
 
-The lexicon keeps the terms whose document frequency lies in a band. Terms are hashed; the lexicon
-is a bitmap of fixed size over hash slots, so it has the same size for any corpus and goes to the
-executors inside the plan. A text's distinct lexicon terms are sorted and hashed once for each of
-several random subsets of the lexicon: four levels that sample the lexicon at rates 1, 1/4, 1/16
-and 1/64, each dealt into 16 subsets. Long texts still agree in the sparse levels after edits, short
-ones in the dense levels.
+The lexicon keeps the terms whose document frequency lies in a band. Frequencies are exact, counted
+by 64-bit term hashes over all documents. A lexicon term stands in a share LOW of the documents or
+more, so there are at most (mean number of distinct terms of a document) / LOW of them, whatever the
+size of the corpus: the lexicon goes to the executors inside the plan, as a hash table. A text's
+distinct lexicon terms are sorted and hashed once for each of several random subsets of the lexicon:
+four levels that sample the lexicon at rates 1, 1/4, 1/16 and 1/64, each dealt into 16 subsets. Long
+texts still agree in the sparse levels after edits, short ones in the dense levels.
 """
 
 from __future__ import annotations
@@ -19,13 +20,14 @@ from pyspark.sql import functions as F
 from loomtrace.llm._common import let, stored
 
 SPLIT = r"[\x20\x09-\x0D.,;:!?]+"
-SLOT_BITS = 20
+#: Bits of a term hash that no subset is dealt by.
+FREE_BITS = 20
 #: Band of document frequency, as shares of all documents.
 LOW, HIGH = 0.001, 0.03
 LEVELS, CELLS = 4, 16
 NONE = "-" * 8
-#: Ranges that the order of ids is worked out in.
-RANGES = 256
+#: Rows of a range that the order of ids is worked out in.
+RANGE_ROWS = 100_000
 
 
 def term_hashes(text: Column) -> Column:
@@ -34,30 +36,33 @@ def term_hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(ws, lambda w: F.xxhash64(w)))
 
 
-def _slot(h: Column) -> Column:
-    return h.bitwiseAND((1 << SLOT_BITS) - 1)
-
-
 def learn_lexicon(docs: DataFrame, text: str = "text", low: float = LOW, high: float = HIGH) -> list[int]:
-    """Bitmap of slots in the band, 64 to a number; all documents count."""
-    slots = docs.select(F.explode(F.array_distinct(F.transform(term_hashes(F.col(text)), _slot))).alias("slot"))
-    df = slots.groupBy("slot").agg(F.count("*").alias("df"))
+    """Sorted hashes of the terms in the band; all documents count."""
+    terms = docs.select(F.explode(term_hashes(F.col(text))).alias("term"))
+    df = terms.groupBy("term").agg(F.count("*").alias("df"))
     total = docs.select(F.count("*").alias("n"))
     kept = df.join(F.broadcast(total), (F.col("df") >= F.greatest(F.lit(2), F.col("n") * low)) & (F.col("df") <= F.greatest(F.lit(2), F.col("n") * high)))
-    bits = kept.groupBy(F.shiftright("slot", 6).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
-    out = [0] * (1 << (SLOT_BITS - 6))
-    for r in bits.collect():  # as many rows as the bitmap has numbers, at most
-        out[r["k"]] = r["bits"]
-    return out
+    return sorted(r[0] for r in kept.select("term").collect())  # bounded, see above
+
+
+def _table(lexicon: list[int]) -> tuple[Column, int]:
+    """The lexicon as an array of slots, a power of two of them, that hold the hashes of their low bits."""
+    size = 1
+    while size < len(lexicon):
+        size *= 2
+    slots: list[list[int]] = [[] for _ in range(size)]
+    for h in lexicon:
+        slots[h & (size - 1)].append(h)
+    return F.from_json(F.lit(json.dumps(slots)), "array<array<bigint>>"), size - 1
 
 
 def fingerprint(text: Column, lexicon: list[int]) -> Column:
     """LEVELS * CELLS hashes of 8 hex digits in a row, dashes for subsets without a term; a digest
     of the text (t and 16 digits) if no term of it is in the lexicon."""
-    bitmap = F.from_json(F.lit(json.dumps(lexicon)), "array<bigint>")
+    slots, mask = _table(lexicon)
+
     def known(h: Column) -> Column:
-        word = F.get(bitmap, F.shiftright(_slot(h), 6).cast("int"))
-        return F.call_function("shiftrightunsigned", word, h.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+        return F.array_contains(F.get(slots, h.bitwiseAND(mask).cast("int")), h)
 
     def digest(x: Column) -> Column:
         return F.when(F.size(x) > 0, F.lpad(F.lower(F.hex(F.xxhash64(x).bitwiseAND(0xFFFFFFFF))), 8, "0")).otherwise(NONE)
@@ -70,7 +75,7 @@ def fingerprint(text: Column, lexicon: list[int]) -> Column:
         return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda c: let(cell(c), digest))
 
     def level_rows(terms: Column, level: int) -> Column:
-        return let(sampled(terms, level), lambda s: dealt(s, SLOT_BITS + 4 * level))
+        return let(sampled(terms, level), lambda s: dealt(s, FREE_BITS + 4 * level))
 
     def subsets(terms: Column) -> Column:
         rows = [level_rows(terms, level) for level in range(LEVELS)]
@@ -93,30 +98,19 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when(lone, 0.0).otherwise(F.greatest(*[level(n) for n in range(LEVELS)]))
 
 
-def _range_of(value: Column, bounds: list) -> Column:
-    """Number of bounds at or below value, by a balanced tree of comparisons."""
-    def tree(i: int, j: int) -> Column:
-        if i == j:
-            return F.lit(i)
-        m = (i + j) // 2
-        return F.when(value < bounds[m], tree(i, m)).otherwise(tree(m + 1, j))
-
-    return tree(0, len(bounds))
-
-
 def neighbours(rows: DataFrame) -> DataFrame:
     """(rid, take, next_rid) of rows (rid, doc_id, take): next by falling doc_id, null ids last,
-    ties by rid; the first follows the last. Ranges of ids are ordered each for itself, and their
-    ends meet in a table with a row for each range."""
+    ties by rid; the first follows the last. Ranges of (id, rid), so that shared and null ids are
+    split too, are ordered each for itself, and their ends meet in a table with a row for each."""
     rows = stored(rows.distinct(), "order")
-    cuts = rows.select(F.percentile_approx("doc_id", [k / RANGES for k in range(1, RANGES)], 10_000)).collect()[0][0] or []
-    at = F.when(F.col("doc_id").isNull(), -1).otherwise(_range_of(F.col("doc_id"), sorted(set(cuts))))
-    ranged = rows.withColumn("range", at)
-    order = (F.col("doc_id").desc_nulls_last(), "rid")
-    inner = ranged.withColumn("follow", F.lead("rid").over(W.partitionBy("range").orderBy(*order)))
-    first = ranged.groupBy("range").agg(F.min(F.struct((-F.col("doc_id")).alias("k"), "rid")).alias("head"))
-    ends = first.select("range", F.coalesce(F.lead("head.rid").over(W.orderBy(F.desc("range"))), F.first("head.rid").over(
-        W.orderBy(F.desc("range")).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("wrap"))
+    order = (F.col("doc_id").desc_nulls_last(), F.col("rid").asc())
+    parts = max(1, rows.count() // RANGE_ROWS + 1)
+    ranged = stored(rows.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()), "ranges")
+    place = W.partitionBy("range").orderBy(*order)
+    inner = ranged.withColumn("follow", F.lead("rid").over(place)).withColumn("k", F.row_number().over(place))
+    first = inner.filter("k = 1").select("range", F.col("rid").alias("head"))
+    ends = first.select("range", F.coalesce(F.lead("head").over(W.orderBy("range")), F.first("head").over(
+        W.orderBy("range").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("wrap"))
     return inner.join(F.broadcast(ends), "range").select("rid", "take", F.coalesce("follow", "wrap").alias("next_rid"))
 
 
@@ -125,9 +119,10 @@ def compare_edited(docs: DataFrame, lexicon: list[int] | None = None, text: str
     near_edited, near_next, next_doc_id).
 
     The edited text is the text with its last third replaced by the start of the next document's,
-    by falling doc_id; the last is followed by the first. Null texts are empty. Repeated rows are
-    one document in that order and each get a row. Null ids come last. A lone document follows
-    itself. An empty table gives an empty one; other columns are not carried.
+    by falling doc_id; the last is followed by the first. Null texts are empty; very long ones are
+    taken whole. Repeated rows are one document in that order and each get a row. Null ids come last;
+    ties of ids go by a digest of id and text. A lone document follows itself. An empty table gives
+    an empty one; other columns are not read.
     """
     if lexicon is None:
         lexicon = learn_lexicon(docs, text)
