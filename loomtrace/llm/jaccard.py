@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomtrace.llm._common import stored
 from loomtrace.llm.components import components
@@ -35,8 +36,9 @@ U = np.uint64
 COUNT_BITS, CHUNKS = 20, 64
 #: Shingles per sketch word, and words of the bit sketch.
 PER_WORD, BIT_WORDS = 3, 16
-#: Distinct words whose hashes a task keeps at once.
-CACHE = 100_000
+#: Distinct words whose hashes, and sets whose digests, a task keeps at once; it forgets all beyond that,
+#: which costs time and changes no result.
+CACHE, SEEN = 100_000, 500_000
 #: Ids that a broadcast may hold; beyond it the same join shuffles.
 BROADCAST_IDS = 200_000
 GROWTH = 1.5
@@ -155,6 +157,8 @@ def _counts(docs: DataFrame, text: str, k: int) -> np.ndarray:
                 sig = xxhash.xxh64_intdigest(s.tobytes())
                 if sig in seen:  # a task's copies count once
                     continue
+                if len(seen) >= SEEN:
+                    seen.clear()
                 seen.add(sig)
                 got.append(s >> U(64 - COUNT_BITS))
                 held += len(s)
@@ -196,6 +200,8 @@ def _describe(docs: DataFrame, text: str, k: int, limit: Threshold) -> DataFrame
                     bits.append(_bit_sketch(s) if len(s) else np.zeros(0, np.int64))
                     first = named and len(s) and sig[-1] not in seen
                     if first:
+                        if len(seen) >= SEEN:
+                            seen.clear()
                         seen.add(sig[-1])
                     rare = (~heavy[(s >> U(64 - COUNT_BITS)).astype(np.int64)]).astype(np.int64)
                     keys.append(np.concatenate(sketch_keys(s, rare, limit)).view(np.int64) if first else np.zeros(0, np.int64))
@@ -258,10 +264,14 @@ def jaccard_components(docs: DataFrame, text: str = "text", k: int = 4, num: int
     the same set. No caps and no sampling: every word of every sketch that the bound calls for is
     joined.
 
-    Null and empty texts (or without words) have no shingles and link with nothing. Repeated rows
-    are copies; rows that share an id are one document of several texts. Rows with a null id come
-    back with a null component. An empty table gives an empty one; other columns are not carried.
+    Null and empty texts (or without words) have no shingles and link with nothing; very long ones
+    are shingled whole. Repeated rows are copies; rows that share an id are one document of several
+    texts. Rows with a null id come back with a null component. Of hubs of equal weight the one of
+    least id stands, which changes the order of the work and no result. An empty table gives an
+    empty one; other columns are not read. Ids are whole numbers, else it is an error.
     """
+    if not isinstance(docs.schema["doc_id"].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise TypeError("doc_id must be a whole number")
     limit = Threshold(num, den)
     told = stored(_describe(docs, text, k, limit), "sketches")
     info = told.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "sig", "bits").dropDuplicates(["doc_id", "sig"])
