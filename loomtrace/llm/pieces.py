@@ -1,8 +1,10 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie of pieces.
 
-The vocabulary is read from a .model file (its path is a parameter). Its pieces are listed by
-rank; their log scores are Zipf's, -log(rank) - log(H), unless the file's own are asked for. A text
-gets a marker for each space and one before it; characters without a piece fall back to bytes.
+The vocabulary is read from a .model file (its path is a parameter). A unigram model's own log scores
+are used; a file of another type lists its pieces by rank, and their log scores are Zipf's,
+-log(rank) - log(H). A text gets a marker for each space and, if the file's normaliser asks for it,
+one before it; extra spaces go if it asks for that. Characters without a piece fall back to bytes. A
+normaliser with a character map is refused.
 
 Pieces hold a marker only at their start, so the best path of a text is the best paths of its
 marked stretches, one after another. A task finds the path of each distinct stretch once, for many
@@ -74,6 +76,21 @@ def read_model(data: bytes) -> list[tuple[str, float, int]]:
     return out
 
 
+def read_rules(data: bytes) -> tuple[int, bool, bool]:
+    """(model type, whether a marker is put before the text, whether extra spaces go); type 1 is a
+    unigram model. The defaults are the file format's."""
+    kind, prefix, extra = 1, True, True  # fixed values of the file format
+    for field, body in _fields(data):
+        if field == 2:
+            kind = dict(_fields(body)).get(3, 1)
+        elif field == 3:
+            got = dict(_fields(body))
+            if got.get(2):
+                raise ValueError("the model's normaliser has a character map, which is not supported")
+            prefix, extra = bool(got.get(3, 1)), bool(got.get(4, 1))
+    return kind, prefix, extra
+
+
 def zipf_scores(pieces: list[tuple[str, float, int]]) -> list[float]:
     """Log scores of normal pieces by their rank in the list; 0 for the others."""
     n = sum(t == NORMAL for _, _, t in pieces)
@@ -144,11 +161,17 @@ class Pieces:
     trie: DoubleArray
     lone: bool  # no piece holds a line feed: lines are stretches of their own
     split: bool  # no piece holds a marker after its start
+    prefix: bool = True  # a marker stands before the text
+    extra: bool = False  # leading, final and repeated spaces go
 
     @staticmethod
-    def load(data: bytes, scores: str = "zipf") -> Pieces:
-        """data: the bytes of a .model file; scores: zipf, or file for the scores in it."""
+    def load(data: bytes, scores: str = "auto") -> Pieces:
+        """data: the bytes of a .model file; scores: zipf, file for the scores in it, or auto, which is
+        file for a unigram model and zipf for any other."""
         pieces = read_model(data)
+        kind, prefix, extra = read_rules(data)
+        if scores == "auto":
+            scores = "file" if kind == 1 else "zipf"
         kinds = [t for _, _, t in pieces]
         got = zipf_scores(pieces) if scores == "zipf" else [s for _, s, _ in pieces]
         keys = {p.encode(): i for i, (p, _, t) in enumerate(pieces) if t in (NORMAL, USER)}
@@ -159,7 +182,7 @@ class Pieces:
         for i, t in enumerate(kinds):
             if t == USER:
                 score[i] = F32(len(names[i].encode()) * top - 0.1)
-        return Pieces(names, kinds, score, DoubleArray(keys), not any("\n" in p for p in real), not any(MARK in p.lstrip(MARK) for p in real))
+        return Pieces(names, kinds, score, DoubleArray(keys), not any("\n" in p for p in real), not any(MARK in p.lstrip(MARK) for p in real), prefix, extra)
 
     def __post_init__(self) -> None:
         self.byte = np.full(256, -1, np.int64)
@@ -185,10 +208,15 @@ class Pieces:
 
     def stretches(self, text: str) -> list[str]:
         """The parts of a marked text that no piece crosses; some may be empty."""
+        if self.extra and text:
+            text = re.sub(" +", " ", text.strip(" "))
         if not text:
             return []
         if not self.split:
-            return [MARK + text.replace(" ", MARK)]
+            return [self.prefix * MARK + text.replace(" ", MARK)]
+        if not self.prefix:
+            marked = text.replace(" ", MARK)
+            return re.findall(rf"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+" if self.lone else rf"{MARK}+[^{MARK}]*|[^{MARK}]+", marked)
         if "  " in text or MARK in text or "\0" in text or text[0] == " ":
             marked = MARK + text.replace(" ", MARK)
             return re.findall(rf"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+" if self.lone else rf"{MARK}+[^{MARK}]*|[^{MARK}]+", marked)
@@ -274,7 +302,7 @@ class Pieces:
         out, i = [], 0
         for j in ends.tolist():
             text = data[i:j].decode("utf-8", "replace")
-            out.append(text[1:] if text[:1] == " " else text)
+            out.append(text[1:] if self.prefix and text[:1] == " " else text)
             i = j
         return out
 
@@ -312,13 +340,16 @@ class Encoder:
         return flat, np.diff(ends[np.concatenate([[0], np.cumsum(count)])])
 
 
-def encode(docs: DataFrame, model: bytes, text: str = "text", scores: str = "zipf", check: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model: bytes, text: str = "text", scores: str = "auto", check: bool = True) -> DataFrame:
     """(doc_id, n_tokens, token_ids, decoded_equal): every whole text encoded, and decoded again.
 
     decoded_equal: decoding the ids gives the text; false where the text holds the marker itself
-    (it decodes to a space) and null for null texts or without check. Null and empty texts have no
-    tokens. Repeated rows are encoded alike, an empty table stays empty, other columns go.
+    (it decodes to a space) or spaces that the normaliser drops, and null for null texts or without
+    check. Null and empty texts have no tokens; very long ones are encoded whole. Of paths of equal
+    score the one whose last piece starts first is taken. Ids keep their type and may be null, repeated
+    rows are encoded alike, an empty table stays empty, other columns are not read.
     """
+    key = docs.schema["doc_id"].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(Pieces.load(model, scores))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,7 +367,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", scores: str = "zip
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), lists, pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "token_ids", "decoded_equal"])
                 i = j
 
-    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, n_tokens long, token_ids array<int>, decoded_equal boolean")
+    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {key}, n_tokens long, token_ids array<int>, decoded_equal boolean")
 
 
 def decode(rows: DataFrame, model: bytes, ids: str = "token_ids") -> DataFrame:
@@ -351,4 +382,4 @@ def decode(rows: DataFrame, model: bytes, ids: str = "token_ids") -> DataFrame:
             texts = pieces.decode(flat, np.array([len(r or []) for r in got], np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if r is None else t for r, t in zip(got, texts, strict=True)], pa.string())], ["doc_id", "text"])
 
-    return rows.select("doc_id", ids).mapInArrow(run, "doc_id long, text string")
+    return rows.select("doc_id", ids).mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
