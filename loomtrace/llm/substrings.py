@@ -32,8 +32,11 @@ from loomtrace.llm._common import stored
 U = np.uint64
 #: Bytes taken together; a longer text is taken alone.
 BLOCK = 1 << 19
-#: Rows, and spans in them, that a broadcast side may have; beyond it the same join shuffles.
+#: Rows, and spans in them (16 bytes each, so 16 MB and 8 MB of ids), that a broadcast side may have; beyond it the same
+#: join shuffles.
 BROADCAST_ROWS, BROADCAST_SPANS = 200_000, 1_000_000
+#: Digests of texts that a task keeps at once; beyond it all are forgotten, which changes no result.
+SEEN = 500_000
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 _POWERS: dict[str, np.ndarray] = {"up": np.ones(1, U), "down": np.ones(1, U)}
@@ -119,6 +122,8 @@ def _anchor_rows(q: int, full: bool):
                 for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                     d = xxhash.xxh3_128_digest(raw[s:e]) if e - s >= 2 * q else b""
                     keep.append(bool(d) and d not in seen)
+                    if len(seen) >= SEEN:
+                        seen.clear()
                     seen.add(d)
                 keep = np.array(keep, bool)
                 b = buckets(data, q)
@@ -225,8 +230,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200) -> Da
     length is even.
 
     Null texts are empty: nothing goes, and the digest is that of no bytes. Texts shorter than
-    length keep all. Repeated rows are copies of each other and lose all if they are long enough.
-    An empty table gives an empty one; other columns are not carried.
+    length keep all, very long ones are read whole. Repeated rows and rows without an id are texts as
+    all others: copies lose all if they are long enough. Of equal windows all go, so ties decide
+    nothing. An empty table gives an empty one; other columns are not read.
     """
     q = length // 2
     if length % 2 or not 2 <= q < 4096:
@@ -256,4 +262,4 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200) -> Da
     every = whole.unionByName(single).unionByName(copies).groupBy("rid").agg(F.collect_list(F.struct("lo", "more")).alias("spans"))
     spans = stored(every.mapInArrow(_merge_rows(length), "rid long, spans array<struct<lo:long,more:long>>"), "repeats")
     return rows.join(_side(spans), "rid", "left").select("doc_id", "text", "spans").mapInArrow(
-        _cut_rows(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        _cut_rows(length), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
