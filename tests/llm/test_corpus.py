@@ -445,7 +445,7 @@ def test_urls_of_many_labels(spark):
 
 
 def test_wrapped_licenses(spark):
-    """Notices as they stand in files, wrapped at 72 columns or less."""
+    """Notices as they stand in files, wrapped at 72 columns or less; a line that is a notice by itself stands for the lines around it."""
     notices = {
         "GPL": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.",
         "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell",
@@ -462,5 +462,335 @@ def test_wrapped_licenses(spark):
     prose = "\n".join(licenses.PROSE)
     rows += [(90, prose, "a"), (91, notices["GPL"].split("\n")[0] + "\n\n" + notices["GPL"].split("\n")[1], "a")]
     got = {r["doc_id"]: (r["n_licensed"], r["families"], r["findings"][0]["paragraph"] if r["findings"] else None) for r in licenses.scan(make(spark, rows), m).collect()}
-    assert {i: (n, f, p in (at, at + 1)) for i, (n, f, p) in got.items() for at in want.get(i, ())[2:]} == {i: (n, f, True) for i, (n, f, at) in want.items()}
+    assert {i: (n, f, p in range(at, at + 3)) for i, (n, f, p) in got.items() for at in want.get(i, ())[2:]} == {i: (n, f, True) for i, (n, f, at) in want.items()}
     assert got[90] == got[91] == (0, "", None)
+
+
+CLASHES = ("row", "whole", "host_", "h", "f", "m", "depth", "suffix", "stretch", "listed", "at", "since", "until", "lo", "hi", "k", "blob", "spans", "masked", "key", "content", "digest", "positions", "position", "copies",
+           "size", "bucket", "taken", "target", "score", "score_", "n", "sig", "bits", "keys", "rep", "component_id", "d", "least", "rid", "next_rid", "take", "range", "fingerprint", "t", "head", "n_words", "quality", "toxic", "n_tokens")
+
+
+def clashing(df):
+    return df.withColumns({c: F.lit(f"own {c}") for c in CLASHES})
+
+
+def check_clashes(df):
+    got = df.select(*CLASHES).distinct().collect()
+    assert [r.asDict() for r in got] in ([], [{c: f"own {c}" for c in CLASHES}])
+
+
+def test_pipeline_stages_on_awkward_tables(spark, awkward, empty, tmp_path):
+    """Null ids, texts and sources, shared ids, repeated rows, a text of 1 MB, columns of the stages' own names; empty tables."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([(k, 1, 0) for k in range(5)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    long = " ".join(f"w{k % 997}x{k}" for k in range(110_000))
+    more = [(50, long, "s2"), (50, "shared id", "s2"), (None, long, None), (8, "x y z w v", "s9")]
+    plain = make(spark, [*[(r["doc_id"], r["text"], r["source"]) for r in awkward.collect()], *more])
+    docs = clashing(plain).persist()
+    assert len(long) > 1_000_000
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        if name != "encoding":
+            assert out.columns == docs.columns, name
+            check_clashes(out)
+            alone = stage(spark, plain, str(tmp_path)).select("doc_id", F.length("text").alias("n"), "n_chars").collect()
+            assert sorted(map(repr, out.select("doc_id", F.length("text").alias("n"), "n_chars").collect())) == sorted(map(repr, alone)), name
+            assert stage(spark, clashing(empty), str(tmp_path)).count() == 0
+        else:
+            assert out.count() == docs.count() and stage(spark, empty, str(tmp_path)).count() == 0
+    kept = pipeline._near_duplicates(spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.filter("doc_id IS NOT NULL").collect()) == [7, 8, 9, 50]
+    assert kept.filter("doc_id = 50").first() == pipeline._near_duplicates(spark, docs.repartition(5), "").filter("doc_id = 50").first()
+    assert kept.filter("doc_id IS NULL").count() == 2
+    masked = pipeline._secrets(spark, docs, "")
+    assert masked.filter("contains(text, 'abcdef123456')").count() == 0 and masked.count() == 10
+
+
+def test_operators_keep_clashing_columns_out(spark, docs, awkward, empty):
+    """Operators that return none of the input's further columns work beside any of them; ids may be text or null."""
+    want, have = docs.filter("doc_id < 110 OR doc_id > 399"), clashing(docs.filter("doc_id < 110 OR doc_id > 399"))
+    data = open(pieces.default_model(), "rb").read()
+    for apply in (lambda x: rules.apply_rules(x, []), lambda x: secrets.scan_versions(x, "doc_id", "text")[0], lambda x: licenses.scan(x, licenses.train(rounds=5)), jaccard.jaccard_components, imatch.compare_edited,
+                  lambda x: mixing.mix(x).drop("positions"), lambda x: pieces.encode(x, data), substrings.remove_repeats):
+        assert sorted(map(repr, apply(want).collect())) == sorted(map(repr, apply(have).collect()))
+    named = want.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    for apply in (lambda x: rules.apply_rules(x, []), lambda x: secrets.scan_versions(x, "doc_id", "text")[0], imatch.compare_edited, lambda x: pieces.encode(x, data), substrings.remove_repeats):
+        out = apply(named)
+        assert out.count() == want.count() and dict(out.dtypes)["doc_id"] == "string" and out.filter("doc_id IS NULL").count() == 0
+    with pytest.raises(TypeError):
+        jaccard.jaccard_components(named)
+
+
+def test_url_hosts(spark):
+    """Hosts against a list of cases and, for plain URLs, against the standard parser."""
+    from urllib.parse import urlsplit
+
+    cases = {
+        "http://[2001:db8::1]:80/": "2001:db8::1", "//bad.com/x": "bad.com", "bad.com/x": "bad.com", " http://Bad.com/ ": "bad.com", "http://bad.com\\@ok.com/": "bad.com", "https://u:p@w@bad.com:8/": "bad.com",
+        "http://bad.com..": "bad.com", "http:///x": None, "nonsense": None, "mailto:a@b.com": None, "": None, None: None, "a.b:80": "a.b", "http://a.b?x=//c.d": "a.b", "x.y#//z.w": "x.y", "http://bad.com:80:90/": "bad.com",
+        "/local/path.html": None, "ftp://files.org": "files.org", "\thttp://t.co\n": "t.co"}
+    got = {r["u"]: r["h"] for r in spark.createDataFrame([(u,) for u in cases], "u string").select("u", urls.host(F.col("u")).alias("h")).collect()}
+    assert got == cases
+    r = random.Random(4)
+    plain = [f"{r.choice(['http', 'https', 'ftp'])}://{r.choice(['', 'u@', 'u:p@'])}{'.'.join(r.choices(['a', 'B-c', 'x1', 'org', 'com'], k=r.randint(1, 5)))}{r.choice(['', ':80'])}{r.choice(['', '/', '/p?q=//z#f', '?a@b', '#c:d'])}" for _ in range(200)]
+    got = {x["u"]: x["h"] for x in spark.createDataFrame([(u,) for u in plain], "u string").select("u", urls.host(F.col("u")).alias("h")).collect()}
+    assert got == {u: urlsplit(u).hostname for u in plain}
+
+
+def test_urls_against_brute_force(spark):
+    r = random.Random(9)
+    names = ["com", "bad.com", "a.bad.com", "*.B.bad.com", ".org", "x.org.", "z.net"]
+    e = [(n, dt.date(2024, 1, 1) + dt.timedelta(r.randrange(700)), r.choice("pqr"), r.random() < 0.6) for n in names for _ in range(6)]
+    e += e[:3]
+    clean = {n: n.lower().removeprefix("*").strip(".") for n in names}
+    caps = [(k, f"http://{r.choice(['', 'a.', 'q.b.'])}{r.choice(['bad.com', 'x.org', 'com', 'z.net', 'else.xyz'])}/", dt.date(2024, 1, 1) + dt.timedelta(r.randrange(800))) for k in range(300)]
+    want = {}
+    for k, u, day in caps:
+        h, best = u[7:-1], (0, None, None, False)
+        for n in set(clean.values()):
+            if h == n or h.endswith("." + n):
+                live = [(s, -b, c) for m, s, c, b in e if clean[m] == n and s <= day]
+                if live and n.count(".") + 1 > best[0]:
+                    last = max(s for s, _, _ in live)
+                    _, b, c = min(x for x in live if x[0] == last)
+                    best = (n.count(".") + 1, n, c, b == -1)
+        want[k] = (h, *best[1:])
+    df = clashing(spark.createDataFrame(caps, "page_id long, url string, fetched date"))
+    out = urls.filter_captures(df, spark.createDataFrame(e, "suffix string, since date, category string, blocked boolean"))
+    check_clashes(out)
+    assert {x["page_id"]: (x["host"], x["entry"], x["category"], x["blocked"]) for x in out.collect()} == want
+    stamps = df.withColumn("fetched", F.col("fetched").cast("timestamp"))
+    assert {x["page_id"]: x["entry"] for x in urls.filter_captures(stamps, spark.createDataFrame(e, "suffix string, since date, category string, blocked boolean")).collect()} == {k: v[1] for k, v in want.items()}
+
+
+def test_quality_rules_grow_prune_and_order(spark):
+    """Bad rows need two conditions at once; a literal that only fits the growing rows is cut; the first rule that holds decides."""
+    r = random.Random(8)
+    rows = [(r.random(), r.random(), r.random()) for _ in range(900)]
+    bad = [a > 0.6 and b <= 0.4 for a, b, _ in rows]
+    got = rules.learn(rows, ["a", "b", "c"], bad)
+    covered = [any(all(rules._holds(x, ("abc".index(f), s, v)) for f, s, v in g.literals) for g in got) for x in rows]
+    assert {f for f, _, _ in got[0].literals} == {"a", "b"} and sum(c == b for c, b in zip(covered, bad, strict=True)) > 870
+    noisy = [b if k % 3 == 0 else (b or rows[k][2] > 0.97) for k, b in enumerate(bad)]  # rows kept for pruning don't confirm c
+    assert all("c" not in {f for f, _, _ in g.literals} or len(g.literals) == 1 for g in rules.learn(rows, ["a", "b", "c"], noisy)[:1])
+    lists = [rules.Rule((("words", ">", 5.0), ("upper_ratio", "<=", 0.5)), True), rules.Rule((("words", ">", 2.0),), False)]
+    df = rules.statistics(spark.createDataFrame([(1, "a b c d e f g"), (2, "A B C D E F G"), (3, "a b")], "doc_id long, text string")).select("*", *rules.features())
+    assert {x["doc_id"]: x["v"] for x in df.select("doc_id", rules.verdict(lists).alias("v")).collect()} == {1: True, 2: False, 3: True}
+    assert rules.learn([], [], []) == []
+
+
+def test_quality_base_and_kept_against_brute_force(docs):
+    one = [rules.Rule((("word_len", ">", 5.0),), False)]
+    got = {r["doc_id"]: (r["base_failed"], r["kept"], r["rule"]) for r in rules.apply_rules(docs, one).collect()}
+    for i, t, _ in texts():
+        ws = re.findall(WS, t or "")
+        thirds = collections.Counter(tuple(ws[k : k + 3]) for k in range(len(ws) - 2))
+        again = {k + j for k in range(len(ws) - 2) if thirds[tuple(ws[k : k + 3])] > 1 for j in range(3)}
+        failed = len(ws) < 50 or 100 * len(again) > 50 * len(ws)
+        drop = sum(map(len, ws)) / max(1, len(ws)) > 5.0
+        assert got[i][:2] == (failed, not failed and not drop) and (got[i][2] is not None) == drop, i
+
+
+def test_quality_sample_is_bounded(spark):
+    """A labelled id that a third of the rows repeat brings one row to the driver."""
+    df = spark.range(3000).select(F.when(F.col("id") < 1000, 7).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("some words and more "), F.col("id").cast("string")).alias("text"))
+    lab = spark.createDataFrame([(7, 1), (7, 1), (2000, 0)], "doc_id long, quality int")
+    assert rules.learn_rules(df, lab) == [] and toxicity.fit(df, lab.withColumnRenamed("quality", "toxic")).scale >= 0
+
+
+def plain_spans(text):
+    """The base kinds by hand, character by character."""
+    low, out = text.lower(), []
+    is_v = lambda c: c.isascii() and (c.isalnum() or c in "+/_.=-")
+    i = 0
+    while i < len(text):
+        hit = None
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(word, i) and text[i : i + len(word)].isascii():
+                for quote in (1, 0):
+                    j = i + len(word)
+                    if quote and text[j : j + 1] in ("'", '"') and text[j : j + 1]:
+                        j += 1
+                    elif quote:
+                        continue
+                    while text[j : j + 1] == " ":
+                        j += 1
+                    if text[j : j + 1] not in (":", "=") or not text[j : j + 1]:
+                        continue
+                    j += 1
+                    while text[j : j + 1] == " ":
+                        j += 1
+                    if text[j : j + 1] in ("'", '"') and text[j : j + 1]:
+                        j += 1
+                    k = j
+                    while k < len(text) and is_v(text[k]):
+                        k += 1
+                    if k > j:
+                        hit = (j, k)
+                        break
+                if hit:
+                    break
+        if hit:
+            if hit[1] - hit[0] >= 6:
+                out.append((i, 0, "assign", hit[1]))
+            i = hit[1]
+        else:
+            i += 1
+    for kind, rank, start, chars, least in (("access", 1, "AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20), ("hex", 2, "", "0123456789abcdef", 24)):
+        i = 0
+        while i < len(text):
+            j = i
+            if text.startswith(start, i):
+                j = i + len(start)
+                while j < len(text) and text[j] in chars:
+                    j += 1
+            if j > i + len(start):
+                if j - i >= least:
+                    out.append((i, rank, kind, j))
+                i = j
+            else:
+                i += 1
+    return [(kind, s, e) for s, _, kind, e in sorted(out)]
+
+
+def test_secrets_against_brute_force(spark):
+    r = random.Random(6)
+    bits = ["password", "PassWd", "secret", "token", "api_key", "APIKEY", ":", "=", " ", "  ", '"', "'", "abc123", "x", "AKIA", "AKIA" + "A1" * 9, "deadbeef" * 3, "0f" * 11, "é", "-", ".", "\n", "toktoken", "ghp_"]
+    some = ["".join(r.choices(bits, k=r.randint(1, 14))) for _ in range(3000)]
+    for t in some:
+        assert [x for x in secrets.find_spans(t) if x[0] in secrets.BASE_RULES] == plain_spans(t), t
+    rows = spark.createDataFrame([(k % 1500, t) for k, t in enumerate([*some, *some[:200]])], "path long, content string")
+    whole = sorted(map(repr, secrets.scan_versions(rows, "path", "content")[0].collect()))
+    _, half = secrets.scan_versions(rows.filter("path % 2 = 0"), "path", "content")
+    half = half.persist()
+    for bound in (10, 200_000):  # by the bitmap, by a broadcast
+        old, secrets.BROADCAST_ROWS = secrets.BROADCAST_ROWS, bound
+        try:
+            out, new = secrets.scan_versions(rows, "path", "content", half)
+            assert sorted(map(repr, out.collect())) == whole
+            assert new.count() + half.count() == len(set(some)) and new.join(half, "blob").count() == 0
+        finally:
+            secrets.BROADCAST_ROWS = old
+
+
+def test_imatch_against_brute_force(spark, docs):
+    import struct
+
+    import xxhash
+
+    term = lambda w: struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(w.encode(), seed=42)))[0]
+    terms = {i: {term(w) for w in re.split(r"[\x20\x09-\x0D.,;:!?]+", (t or "").lower()) if w} for i, t, _ in texts()}
+    df = collections.Counter(h for hs in terms.values() for h in hs)
+    lexicon = sorted(h for h, n in df.items() if max(2, 0.02 * len(terms)) <= n <= max(2, 0.5 * len(terms)))
+    assert imatch.learn_lexicon(docs, low=0.02, high=0.5) == lexicon
+
+    def digest(hs):
+        seed = 42
+        for h in hs:
+            seed = xxhash.xxh64_intdigest(struct.pack("<q", h), seed=seed)
+        return f"{seed & 0xFFFFFFFF:08x}"
+
+    def mark(i, t):
+        known = sorted(terms[i] & set(lexicon))
+        if not known:
+            return "t" + hashlib.sha256((t or "").encode()).hexdigest()[:16]
+        out = []
+        for level in range(4):
+            some = [h for h in known if ((h & (1 << 64) - 1) >> 40) & ((1 << 2 * level) - 1) == 0]
+            for c in range(16):
+                cell = [h for h in some if ((h & (1 << 64) - 1) >> (20 + 4 * level)) & 15 == c]
+                out.append(digest(cell) if cell else "-" * 8)
+        return "".join(out)
+
+    def near(a, b):
+        if a == b:
+            return 1.0
+        if a[0] == "t" or b[0] == "t":
+            return 0.0
+        best = 0.0
+        for level in range(4):
+            cells = [(a[k : k + 8], b[k : k + 8]) for k in range(level * 128, level * 128 + 128, 8)]
+            cells = [c for c in cells if c != ("-" * 8, "-" * 8)]
+            if len(cells) >= 3:
+                best = max(best, sum(x == y for x, y in cells) / len(cells))
+        return best
+
+    got = {r["doc_id"]: r for r in imatch.compare_edited(docs, lexicon).collect()}
+    for i, t, _ in texts():
+        assert got[i]["fingerprint"] == mark(i, t), i
+        assert got[i]["near_next"] == pytest.approx(near(got[i]["fingerprint"], got[got[i]["next_doc_id"]]["fingerprint"]))
+        assert got[i]["near_edited"] == pytest.approx(near(got[i]["fingerprint"], got[i]["edited_fingerprint"]))
+
+
+def test_imatch_order_in_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(imatch, "RANGE_ROWS", 7)
+    rows = [(k, f"t {k}", None) for k in range(60)] + [(None, f"n {k}", None) for k in range(25)] + [(5, "again", None)]
+    out = imatch.compare_edited(make(spark, rows), []).collect()
+    after = {r["doc_id"]: r["next_doc_id"] for r in out if r["doc_id"] is not None and r["doc_id"] != 5}
+    assert after == {k: (k - 1 if k else None) for k in range(60) if k != 5} and len(out) == 86
+    assert sorted(str(r["next_doc_id"]) for r in out if r["doc_id"] == 5) == ["4", "5"]
+    assert sorted(str(r["next_doc_id"]) for r in out if r["doc_id"] is None) == sorted([*["None"] * 24, "59"])
+
+
+def test_toxicity_window_by_a_plain_loop():
+    """One window through the recurrences, the attention and the unit, number by number."""
+    net = toxicity.Network.new({b"aa": 1, b"bb": 2})
+    r = np.random.default_rng(3)
+    for k, v in net.p.items():
+        net.p[k] = (v + r.standard_normal(v.shape) * 0.3).astype(np.float32)
+    words = [b"aa", b"cc", b"bb", b"aa"]
+    x = net.inputs(words)[0]
+    p, h, sig = net.p, toxicity.HIDDEN, lambda v: 1 / (1 + np.exp(-v))
+    states = np.zeros((4, 2 * h))
+    for k, order, at in (("f", range(4), 0), ("b", range(3, -1, -1), h)):
+        s = np.zeros(h)
+        for j in order:
+            g = x[j] @ p[f"w{k}"] + p[f"b{k}"]
+            u = s @ p[f"u{k}"]
+            z, q = sig(g[:h] + u[:h]), sig(g[h : 2 * h] + u[h : 2 * h])
+            c = np.tanh(g[2 * h :] + q * u[2 * h :])
+            s = z * s + (1 - z) * c
+            states[j, at : at + h] = s
+    e = np.exp(np.tanh(states @ p["wa"] + p["ba"]) @ p["v"])
+    want = float((e / e.sum()) @ states @ p["o"] + p["c"][0])
+    assert float(toxicity.worst(net, ["aa cc bb aa"])[0][0]) == pytest.approx(want, abs=1e-4)
+    long = " ".join(["cc"] * 100 + ["aa", "bb"] + ["cc"] * 100)
+    tops = [float(toxicity.worst(net, [" ".join(long.split()[s : s + toxicity.WIDTH])])[0][0]) for s in range(0, 202 - toxicity.WIDTH + toxicity.STRIDE, toxicity.STRIDE)]
+    assert float(toxicity.worst(net, [long])[0][0]) == pytest.approx(max(tops), abs=1e-4)
+
+
+def test_licenses_held_out():
+    """Notices and licences that were not trained on."""
+    m = licenses.train()
+    assert m.held_out[0] > 0.9 and m.held_out[1] < 0.06
+    for t in ("Distributed under the Boost Software License, Version 1.0.", "Licensed under the Eclipse Public License 1.0", "Licensed under the EUPL, Version 1.2", "Academic Free License version 3.0", "Artistic License 2.0",
+              "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "The MIT campus and its license office opened"):
+        assert m.judge(t)[0] == licenses.UNKNOWN, t
+    for family, t in (("MIT", "# License: MIT"), ("MIT", 'license = "MIT"'), ("GPL", "GNU GENERAL PUBLIC LICENSE"), ("MIT", "This file is distributed under the MIT license; see LICENSE."), ("Apache-2.0", "Code released under the Apache 2.0 license"),
+                      ("BSD", " * Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.")):
+        assert m.judge(t)[0] == family, t
+
+
+def test_unigram_model_scores_and_spaces():
+    """A unigram model's own scores, and the normaliser's spaces, against the library."""
+    sp = pytest.importorskip("sentencepiece")
+
+    def field(n, body):
+        return bytes([n << 3 | 2, len(body)]) + body
+
+    import struct
+
+    def model(prefix, extra):
+        out = b""
+        for name, score, kind in [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), ("\u2581", -2.0, 1), ("a", -3.0, 1), ("b", -3.5, 1), ("ab", -4.0, 1), ("\u2581a", -4.5, 1), ("ba", -9.0, 1), ("\u2581ab", -9.9, 1), ("bab", -6.0, 1)]:
+            out += field(1, field(1, name.encode()) + b"\x15" + struct.pack("<f", score) + bytes([0x18, kind]))
+        return out + field(2, bytes([0x18, 1])) + field(3, field(1, b"identity") + bytes([0x18, prefix, 0x20, extra, 0x28, 1]))
+
+    for prefix in (0, 1):
+        for extra in (0, 1):
+            data = model(prefix, extra)
+            lib, own = sp.SentencePieceProcessor(model_proto=data), pieces.Pieces.load(data)
+            assert own.scores[6] == np.float32(-4.0)
+            for t in ("abab", " ab  ba ", "babab ab", "a", "  ", "zab é", "ab ab"):
+                ids, n = pieces.Encoder(own).encode([t])
+                assert ids.tolist() == lib.encode(t), (prefix, extra, t)
