@@ -1,4 +1,10 @@
-"""A pipeline over documents in five stages, each written as Parquet before the next reads it."""
+"""A pipeline over documents in five stages, each written as Parquet before the next reads it.
+
+Every stage but the last returns the columns of its input, unchanged but for what it decides, and
+takes further columns of any name. Null texts are empty ones; rows without an id are judged, masked
+and mixed like all others, only near duplicates are sought among rows with one. Empty tables give
+empty ones. Very long texts are taken whole.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtrace.llm import jaccard, mixing, pieces, secrets, toxicity
-from loomtrace.llm._common import stored, table
+from loomtrace.llm._common import fresh, stored, table
 
 #: Words of a shingle and least similarity of near duplicates; op5 has a contract of its own.
 WORDS, SIMILAR = 5, (80, 100)
@@ -15,30 +21,38 @@ BROADCAST_ROWS = 200_000
 
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose worst window is likelier toxic than not go."""
+    """Documents whose worst window is likelier toxic than not go; a tie (0.5) goes. Repeated rows
+    are judged alike."""
     net = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, net).filter("score < 0.5").select(*docs.columns)
+    chance = fresh("score", docs.columns)
+    return toxicity.score(docs, net, out=chance).filter(F.col(chance) < 0.5).select(*docs.columns)
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near duplicates stays; rows without an id stay."""
+    """The document of least id of each group of near duplicates stays; rows without an id stay.
+    Rows that share an id are one document: the one of least digest over all columns stays, one of
+    them if they are equal."""
     found = jaccard.jaccard_components(docs.select("doc_id", "text"), k=WORDS, num=SIMILAR[0], den=SIMILAR[1])
     gone = stored(found.filter("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
     kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(*docs.columns)
-    ids = docs.filter("doc_id IS NOT NULL").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).first()
-    if ids["n"] > ids["d"]:  # rows that share an id are one document
-        kept = kept.filter("doc_id IS NULL").unionByName(kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
-    return kept
+    shared = stored(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "shared-ids")
+    if shared.isEmpty():
+        return kept
+    digest = F.sha2(F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"}), 256)
+    several = kept.join(shared, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(digest.alias("d"), F.struct(*docs.columns).alias("whole"))).alias("least"))
+    return kept.join(shared, "doc_id", "left_anti").select(*docs.columns).unionByName(several.select("least.whole.*"))
 
 
 def _secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked; every document stays. Findings depend on content alone, so rows without an id have theirs."""
+    """Secrets are masked; every document stays. Findings depend on content alone, so rows without
+    an id and repeated rows have theirs. n_chars follows the masked text."""
     found, _ = secrets.scan_versions(docs, "doc_id", "text")
     found = stored(found.filter(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"]), "secrets")
     side = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
-    both = docs.join(side, secrets.blob_id(F.col("text")) == F.col("blob"), "left")
-    masked = both.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(secrets.mask_spans(F.col("text"), F.col("spans"))))
-    return masked.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    both = docs.select(F.struct(*docs.columns).alias("whole"), secrets.blob_id(F.col("text")).alias("blob")).join(side, "blob", "left")
+    masked = both.select("whole", "spans", secrets.mask_spans(F.when(F.col("spans").isNotNull(), F.col("whole.text")), F.col("spans")).alias("masked"))
+    new = {"text": F.coalesce("masked", "whole.text"), "n_chars": F.when(F.col("spans").isNull(), F.col("whole.n_chars")).otherwise(F.length("masked").cast("long"))}
+    return masked.select(*[new.get(c, F.col("whole").getField(c)).alias(c) for c in docs.columns])
 
 
 def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
