@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +42,26 @@ def fresh(name: str, taken: Iterable[str]) -> str:
     return name
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run over batches, for a Python worker: what it held goes back to the system when it ends, so that
+    a worker that serves many stages keeps the memory of none."""
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder. Where none is set, a local session gets a temporary one; a
     cluster would lose what a machine-local folder holds, so there it is an error."""

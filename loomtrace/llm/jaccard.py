@@ -21,14 +21,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtrace.llm._common import stored
+from loomtrace.llm._common import lean, stored
 from loomtrace.llm.components import components
 
 U = np.uint64
@@ -148,12 +147,12 @@ def _counts(docs: DataFrame, text: str, k: int) -> np.ndarray:
     """Bits of the count table whose shingles are in many more documents than the mean."""
     size = 1 << COUNT_BITS
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, cache, seen = np.zeros(size, np.int64), WordHash(), set()
-        for pdf in batches:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, cache, seen = np.zeros(size, np.uint32), WordHash(), set()
+        for batch in batches:
             got, held = [], 0
-            for t in pdf[text]:
-                s = shingles(t, k, cache)
+            for t in batch.column(0):
+                s = shingles(t.as_py(), k, cache)
                 sig = xxhash.xxh64_intdigest(s.tobytes())
                 if sig in seen:  # a task's copies count once
                     continue
@@ -162,19 +161,21 @@ def _counts(docs: DataFrame, text: str, k: int) -> np.ndarray:
                 seen.add(sig)
                 got.append(s >> U(64 - COUNT_BITS))
                 held += len(s)
-                if held > 1 << 20:
-                    table += np.bincount(np.concatenate(got).astype(np.int64), minlength=size)
+                if held > 1 << 18:
+                    np.add.at(table, np.concatenate(got).astype(np.int64), np.uint32(1))
                     got, held = [], 0
             if got:
-                table += np.bincount(np.concatenate(got).astype(np.int64), minlength=size)
+                np.add.at(table, np.concatenate(got).astype(np.int64), np.uint32(1))
         parts = table.reshape(CHUNKS, -1)
-        yield pd.DataFrame({"chunk": range(CHUNKS), "n": [p.astype(np.uint32).tobytes() for p in parts]})
+        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["chunk", "n"])
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(b, np.uint32).astype(np.int64) for b in pdf["n"])
-        return pd.DataFrame({"chunk": pdf["chunk"][:1], "n": [total.tobytes()]})
+    def add(rows: pa.Table) -> pa.Table:
+        total = np.zeros(size // CHUNKS, np.int64)
+        for b in rows.column("n"):
+            total += np.frombuffer(b.as_buffer(), np.uint32)
+        return pa.table({"chunk": rows.column("chunk")[:1], "n": pa.array([total.tobytes()], pa.binary())})
 
-    tables = docs.select(text).mapInPandas(count, "chunk int, n binary").groupBy("chunk").applyInPandas(add, "chunk int, n binary")
+    tables = docs.select(text).mapInArrow(lean(count), "chunk int, n binary").groupBy("chunk").applyInArrow(add, "chunk int, n binary")
     out = np.zeros((CHUNKS, size // CHUNKS), np.int64)
     for r in tables.collect():  # CHUNKS rows of fixed size
         out[r["chunk"]] = np.frombuffer(r["n"], np.int64)
@@ -208,7 +209,7 @@ def _describe(docs: DataFrame, text: str, k: int, limit: Threshold) -> DataFrame
                 lists = lambda x: pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)]).astype(np.int32), np.concatenate(x))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), lists(bits), lists(keys)], ["doc_id", "n", "sig", "bits", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, n long, sig binary, bits array<long>, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(lean(run), "doc_id long, n long, sig binary, bits array<long>, keys array<long>")
 
 
 def _within(limit: Threshold, d: Column, total: Column) -> Column:
@@ -251,9 +252,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str, k: int, limit: Thres
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     # written once: both sides of the join read it, and no task runs more than one Python worker
-    s = stored(texts.mapInArrow(sets, "doc_id long, s binary"), "pair-sets")
+    s = stored(texts.mapInArrow(lean(sets), "doc_id long, s binary"), "pair-sets")
     side = lambda x: s.select(F.col("doc_id").alias(x), F.col("s").alias(f"s{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long").distinct()
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(lean(check), "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:

@@ -17,9 +17,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from loomtrace.llm._common import lean
+
 NGRAM = 3
 LEAST_CHANCE, LEAST_LIKENESS = 0.5, 0.6
 UNKNOWN = "unknown"
@@ -281,13 +283,16 @@ def scan(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    found_type = pa.list_(pa.struct([("paragraph", pa.int64()), ("family", pa.string()), ("chance", pa.float64()), ("likeness", pa.float64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         judge, cues, hopes = model.judge, model.cues, {}
-        for pdf in batches:
+        for batch in batches:
             known: dict[str, tuple] = {}
             out: list[list] = [[], [], [], []]
-            for t in pdf[text]:
+            for t in batch.column(1):
+                t = t.as_py()
                 lines = t.split("\n") if t else []
                 found, runs, at = [], [], None
                 for k, line in enumerate(lines):
@@ -320,9 +325,8 @@ def scan(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
                 out[1].append(len(found))
                 out[2].append(",".join(sorted({f["family"] for f in found})))
                 out[3].append(found)
-            yield pd.DataFrame({"key": pdf["key"], "n_paragraphs": out[0], "n_licensed": out[1], "families": out[2], "findings": out[3]})
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], found_type)], ["doc_id", "n_paragraphs", "n_licensed", "families", "findings"])
 
-    # the id travels as text, so that nulls and large numbers come back unchanged
-    keyed = docs.selectExpr("cast(doc_id as string) AS key", f"`{text}`")
-    got = keyed.mapInPandas(run, "key string, n_paragraphs long, n_licensed long, families string, findings array<struct<paragraph:long,family:string,chance:double,likeness:double>>")
-    return got.selectExpr(f"cast(key as {docs.schema['doc_id'].dataType.simpleString()}) AS doc_id", "n_paragraphs", "n_licensed", "families", "findings")
+    key = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", text).mapInArrow(lean(run), f"doc_id {key}, n_paragraphs long, n_licensed long, families string, findings array<struct<paragraph:long,family:string,chance:double,likeness:double>>")

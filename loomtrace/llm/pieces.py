@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from loomtrace.llm._common import lean
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values of the file format
 UNKNOWN_PENALTY = 10.0  # fixed value: below the least score
@@ -367,7 +369,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", scores: str = "aut
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), lists, pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "token_ids", "decoded_equal"])
                 i = j
 
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {key}, n_tokens long, token_ids array<int>, decoded_equal boolean")
+    return docs.select("doc_id", text).mapInArrow(lean(run), f"doc_id {key}, n_tokens long, token_ids array<int>, decoded_equal boolean")
 
 
 def decode(rows: DataFrame, model: bytes, ids: str = "token_ids") -> DataFrame:
@@ -382,4 +384,4 @@ def decode(rows: DataFrame, model: bytes, ids: str = "token_ids") -> DataFrame:
             texts = pieces.decode(flat, np.array([len(r or []) for r in got], np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if r is None else t for r, t in zip(got, texts, strict=True)], pa.string())], ["doc_id", "text"])
 
-    return rows.select("doc_id", ids).mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
+    return rows.select("doc_id", ids).mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")

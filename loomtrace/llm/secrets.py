@@ -12,11 +12,11 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtrace.llm._common import stored
+from loomtrace.llm._common import lean, stored
 
 #: The base rules, in the order that breaks ties of equal starts.
 _WORD = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
@@ -45,7 +45,7 @@ RULES = {**BASE_RULES, **MORE_RULES}
 NEEDLES = {"access": "AKIA", "pem": "-----BEGIN ", "jwt": "eyJ", "github": "gh", "slack": "xox", "bearer": "earer", "urlcred": "://"}
 RULE_VERSION = hashlib.sha256(repr(sorted(RULES.items())).encode()).hexdigest()[:16]
 #: New digests that a broadcast may hold, and bits of the bitmap that serves beyond it.
-BROADCAST_ROWS, MARK_BITS = 200_000, 24
+BROADCAST_ROWS, MARK_BITS = 50_000, 24
 FINDINGS = "spans array<struct<kind:string,start:int,end:int>>"
 
 
@@ -65,11 +65,13 @@ def find_spans(text: str, rules: dict = RULES) -> list[tuple[str, int, int]]:
     return [(kind, start, end) for start, _, kind, end in sorted(found)]
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        spans = [[{"kind": k, "start": s, "end": e} for k, s, e in find_spans(t)] for t in pdf["content"]]
-        keep = [bool(s) for s in spans]
-        yield pd.DataFrame({"blob": pdf["blob"], "spans": spans})[keep]
+_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        spans = [[{"kind": k, "start": s, "end": e} for k, s, e in find_spans(t.as_py())] for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _SPANS)], ["blob", "spans"]).filter(pa.array([bool(s) for s in spans], pa.bool_()))
 
 
 def blob_id(content: Column) -> Column:
@@ -108,7 +110,7 @@ def scan_versions(versions: DataFrame, key: str, content: str, ledger: DataFrame
             found = texts.join(F.broadcast(fresh), "blob", "left_semi").groupBy("blob").agg(F.first("content").alias("content"))
         else:
             found = texts.filter(_marked(fresh)).groupBy("blob").agg(F.first("content").alias("content")).join(fresh, "blob", "left_semi")
-    found = stored(found.mapInPandas(_scan, f"blob string, {FINDINGS}"), "secret-findings")
+    found = stored(found.mapInArrow(lean(_scan), f"blob string, {FINDINGS}"), "secret-findings")
     new = fresh.join(found, "blob", "left").select("blob", F.lit(rule_version).alias("rule_version"), "spans")
     hits = found.select("blob", "spans")
     if known is not None:
@@ -138,9 +140,9 @@ def digest(spans: Column, kinds: tuple[str, ...] | None = None) -> Column:
     return F.array_join(F.transform(chosen, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _mask(texts: pd.Series, spans: pd.Series) -> pd.Series:
+def _mask(texts: pa.Array, spans: pa.Array) -> pa.Array:
     def one(text, found):
-        if text is None or found is None or not len(found):
+        if text is None or not found:
             return text
         out, at = [], 0
         for s in sorted(found, key=lambda s: (s["start"], -s["end"])):
@@ -151,9 +153,9 @@ def _mask(texts: pd.Series, spans: pd.Series) -> pd.Series:
             at = s["end"]
         return "".join([*out, text[at:]])
 
-    return pd.Series([one(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
+    return pa.array([one(t.as_py(), s.as_py()) for t, s in zip(texts, spans, strict=True)], pa.string())
 
 
 def mask_spans(text: Column, spans: Column) -> Column:
     """text with each run of overlapping spans replaced by [SECRET]; null stays null."""
-    return F.pandas_udf(_mask, "string")(text, spans)
+    return F.arrow_udf(_mask, "string")(text, spans)

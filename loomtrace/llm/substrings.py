@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtrace.llm._common import stored
+from loomtrace.llm._common import lean, stored
 
 U = np.uint64
 #: Bytes taken together; a longer text is taken alone.
@@ -240,8 +240,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200) -> Da
     rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", "text")
     pairs = rows.select("rid", "text")
     zone_schema = "bucket long, refined long, rid long, lo long, more short"
-    full = pairs.mapInArrow(_anchor_rows(q, True), zone_schema)
-    met = stored(pairs.mapInArrow(_anchor_rows(q, False), "bucket long").groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1").select("bucket"), "buckets")
+    full = pairs.mapInArrow(lean(_anchor_rows(q, True)), zone_schema)
+    met = stored(pairs.mapInArrow(lean(_anchor_rows(q, False)), "bucket long").groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1").select("bucket"), "buckets")
     open_ = stored(full.join(met, "bucket"), "zones")
 
     classes = stored(open_.groupBy("bucket", "refined").agg(F.count("*").alias("c"), F.min(F.struct("rid", "lo", "more")).alias("one")), "classes")
@@ -250,7 +250,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200) -> Da
     left = classes.join(split, "bucket").select("one.*", (F.col("c") == 1).alias("single"))
     asked = stored(left.groupBy("rid").agg(F.collect_list(F.struct("lo", "more", "single")).alias("spans")), "open-zones")
 
-    win = stored(pairs.join(_side(asked), "rid").select("rid", "text", "spans").mapInArrow(_window_rows(q), "win long, rid long, p long, single boolean"), "windows")
+    win = stored(pairs.join(_side(asked), "rid").select("rid", "text", "spans").mapInArrow(lean(_window_rows(q)), "win long, rid long, p long, single boolean"), "windows")
     twice = win.groupBy("win").agg(F.count("*").alias("c")).filter("c > 1").select("win")
     single = win.filter("single").join(twice, "win").select("rid", F.col("p").alias("lo"), F.lit(0).cast("long").alias("more"))
 
@@ -260,6 +260,6 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200) -> Da
     copies = same.join(copied, "sha").select("rid", F.lit(0).cast("long").alias("lo"), (F.col("n") - length).alias("more")).distinct()
 
     every = whole.unionByName(single).unionByName(copies).groupBy("rid").agg(F.collect_list(F.struct("lo", "more")).alias("spans"))
-    spans = stored(every.mapInArrow(_merge_rows(length), "rid long, spans array<struct<lo:long,more:long>>"), "repeats")
+    spans = stored(every.mapInArrow(lean(_merge_rows(length)), "rid long, spans array<struct<lo:long,more:long>>"), "repeats")
     return rows.join(_side(spans), "rid", "left").select("doc_id", "text", "spans").mapInArrow(
-        _cut_rows(length), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        lean(_cut_rows(length)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

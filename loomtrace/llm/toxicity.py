@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomtrace.llm._common import lean
+
 #: Words of a window, and words between the starts of two windows.
 WIDTH, STRIDE = 24, 12
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 8, 8, 8
@@ -340,4 +342,4 @@ def score(docs: DataFrame, net: Network, text: str = "text", out: str = "score")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chance, pa.float64())], [*batch.schema.names, out])
 
     base = docs.drop(out)
-    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField(out, T.DoubleType())]))
+    return base.mapInArrow(lean(run), T.StructType([*base.schema.fields, T.StructField(out, T.DoubleType())]))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtrace import oracles
 from loomtrace.operators import abstraction, cases, conformance, declare, negative, objects, paths
 from loomtrace.plans.declare import Arc, Label
 from loomtrace.sources.testdata import TRADE_SQL, dialog_log, trade_log, user_day_log, user_log
@@ -13,11 +14,11 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None, trade: bool = False):
+def query(sql: str | None = None, trade: bool = False, recursive: bool = False):
     def register(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = f"WITH {TRADE_SQL.strip()}{', ' if sql.lstrip().startswith('+') else ' '}{sql.lstrip().removeprefix('+')}" if trade else sql
+            ORACLES[f.__name__] = f"WITH {'RECURSIVE ' * recursive}{TRADE_SQL.strip()}{', ' if sql.lstrip().startswith('+') else ' '}{sql.lstrip().removeprefix('+')}" if trade else sql
         return f
 
     return register
@@ -310,7 +311,7 @@ def declare_check(spark: SparkSession, d: str) -> DataFrame:
     return declare.check(trade_log(spark, d), ARCS)
 
 
-@query()
+@query(oracles.DECLARE_DISCOVER, True, True)
 def declare_discover(spark: SparkSession, d: str) -> DataFrame:
     arcs = declare.discover(trade_log(spark, d), declare.Options(reduction="lossless"))
     return _arc_rows(spark, arcs)
@@ -345,10 +346,10 @@ def _evidence_sql() -> str:
 
 @query(_evidence_sql(), True)
 def negative_evidence(spark: SparkSession, d: str) -> DataFrame:
-    return declare.evidence(declare.index_for(trade_log(spark, d), NEGATIVE), NEGATIVE)
+    return declare.evidence_of(trade_log(spark, d), NEGATIVE)
 
 
-@query()
+@query(oracles.NEGATIVE_DISCOVER, True)
 def negative_discover(spark: SparkSession, d: str) -> DataFrame:
     return _arc_rows(spark, negative.discover(trade_log(spark, d), declare.Options(noise=0.1)))
 
@@ -361,12 +362,12 @@ def negative_reduced(spark: SparkSession, d: str) -> DataFrame:
     return _arc_rows(spark, arcs)
 
 
-@query()
+@query(oracles.NEGATIVE_TABLE, True)
 def negative_candidate_table(spark: SparkSession, d: str) -> DataFrame:
     return declare.candidate_table(trade_log(spark, d), ("AS", "EF", "EP"), True)[1]
 
 
-@query()
+@query(oracles.EXISTENCE_TABLE, True)
 def existence_candidate_table(spark: SparkSession, d: str) -> DataFrame:
     return declare.candidate_table(trade_log(spark, d), ("AS", "EF", "EP"), False)[1]
 
@@ -390,7 +391,8 @@ _LONG = paths.Schema(CUSTOMER, (_step(ORDER, "placed_by", CUSTOMER, True), _step
 _CYCLE = paths.Schema(ORDER, (_step(ORDER, "placed_by", CUSTOMER), _step(ORDER, "placed_by", CUSTOMER, True)))
 
 
-@query("SELECT e.ev_id AS source, f.ev_id AS target, epoch_us(e.ts) AS source_t, epoch_us(f.ts) AS target_t FROM d e JOIN d f ON f.ob_id = e.ob_id AND f.ev_type = 'ship_A' AND f.ts >= e.ts WHERE e.ev_type = 'place' AND e.ob_type = 'order'", True)
+@query("""+e AS MATERIALIZED (SELECT ob_id, ev_id, epoch_us(ts) AS t FROM d WHERE ev_type = 'place' AND ob_type = 'order'), f AS MATERIALIZED (SELECT ob_id, ev_id, epoch_us(ts) AS t FROM d WHERE ev_type = 'ship_A' AND ob_type = 'order')
+SELECT e.ev_id AS source, f.ev_id AS target, e.t AS source_t, f.t AS target_t FROM e JOIN f USING (ob_id) WHERE f.t >= e.t""", True)
 def path_connections_forward(spark: SparkSession, d: str) -> DataFrame:
     return paths.connections(trade_log(spark, d), _FORWARD, "forward")
 
@@ -415,9 +417,9 @@ def path_throughput(spark: SparkSession, d: str) -> DataFrame:
     return paths.throughput(paths.connections(trade_log(spark, d), _FORWARD, "forward"))
 
 
-@query()
+@query(oracles.PATH_DISCOVER, True)
 def path_discover(spark: SparkSession, d: str) -> DataFrame:
-    rows = paths.discover(trade_log(spark, d), PLACE, SHIP_A, 2)
+    rows = paths.discover(trade_log(spark, d), PLACE, SHIP_A, 3)
     return spark.createDataFrame([(r["text"], r["support"], r["coverage"], r["selectivity"], r["reach"], r["exclusivity"], r["representative"]) for r in rows], "schema string, support long, coverage double, selectivity double, reach double, exclusivity double, representative string")
 
 
@@ -445,17 +447,23 @@ def visible_dialog_net():
     return net
 
 
-@query()
+@query(oracles.TOKEN_REPLAY)
 def conformance_token_replay(spark: SparkSession, d: str) -> DataFrame:
     return conformance.replay_summary(conformance.token_replay(cases.variants(dialog_log(spark, d)), visible_dialog_net()))
 
 
-@query()
+@query(oracles.ALIGNMENTS)
 def conformance_alignments(spark: SparkSession, d: str) -> DataFrame:
-    return conformance.alignments(cases.variants(dialog_log(spark, d)), dialog_net()).withColumn("trace", objects.trace_string(F.col("trace")))
+    return conformance.alignments(cases.variants(dialog_log(spark, d)), dialog_net()).select(objects.trace_string(F.col("trace")).alias("trace"), "freq", "cost", "worst", "status")
 
 
 @query()
+def conformance_alignment_moves(spark: SparkSession, d: str) -> DataFrame:
+    """The moves of an optimal alignment; of several the SQL above can't know which one is found."""
+    return conformance.alignments(cases.variants(dialog_log(spark, d)), dialog_net()).select(objects.trace_string(F.col("trace")).alias("trace"), "cost", "moves")
+
+
+@query(oracles.ALIGNMENT_FITNESS)
 def conformance_alignment_fitness(spark: SparkSession, d: str) -> DataFrame:
     return conformance.alignment_fitness(conformance.alignments(cases.variants(dialog_log(spark, d)), dialog_net()))
 
@@ -535,7 +543,7 @@ def declare_check_synthetic(spark: SparkSession, d: str) -> DataFrame:
     return declare.check(trade_log(spark, d), SYNTHETIC).select("arc", "total", "violating")
 
 
-@query()
+@query(oracles.DECLARE_PROJECTED, True, True)
 def declare_projected(spark: SparkSession, d: str) -> DataFrame:
     from loomtrace.plans.declare import project_arcs
 
@@ -557,13 +565,13 @@ def negative_precision(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(w, round(rules.precision(table, known.__contains__, w), 6), len(model)) for w in rules.WEIGHTS], "weight string, precision double, arcs long")
 
 
-@query()
+@query(oracles.PATH_ENUMERATE, True)
 def path_enumerate(spark: SparkSession, d: str) -> DataFrame:
     found = paths.enumerate_schemas(paths.type_graph(trade_log(spark, d)), PLACE, SHIP_A, 3)
     return spark.createDataFrame([(s.text(), len(s.steps)) for s in found], "schema string, length long")
 
 
-@query()
+@query(oracles.TREE_ALIGNMENTS)
 def conformance_tree_alignments(spark: SparkSession, d: str) -> DataFrame:
     from loomtrace.plans import tree
 
@@ -571,7 +579,7 @@ def conformance_tree_alignments(spark: SparkSession, d: str) -> DataFrame:
     return conformance.alignment_fitness(conformance.alignments(cases.variants(dialog_log(spark, d)), tree.to_petri_net(talk)))
 
 
-@query()
+@query(oracles.MAP_CLOSURE, True)
 def oc_map_closure(spark: SparkSession, d: str) -> DataFrame:
     from loomtrace.plans import maps
 
