@@ -79,6 +79,21 @@ def test_check_equals_definition(spark, seed):
     assert not wrong, wrong[:5]
 
 
+@pytest.mark.parametrize("paired", [32, 1])
+def test_all_of_several_and_counts_of_each(spark, monkeypatch, paired):
+    """ALL of two objects or more is met by pairs of them, or, of events with many, by one of them."""
+    monkeypatch.setattr(declare, "PAIRED", paired)
+    events, o2o = random_log(7)
+    events += [("a", 2, ["i1", "i2"]), ("b", 3, ["i1", "i2", "i3"]), ("b", 3, ["i1", "i3"]), ("c", 1, ["i1", "i2", "i3", "o1"]), ("a", 4, [])]
+    turns = [("a", "b"), ("b", "a"), ("c", "c")]
+    arcs = [Arc(*t, arrow, Label.of(all=[key]), low, high) for t in turns for key in ("i", "o>i") for arrow in ("AS", "EF", "EP") for low, high in ((1, None), (0, 0))]
+    arcs += [Arc(*t, "AS", Label.of(each=[key]), low, high) for t in turns for key in ("i", "o", "i<o") for low, high in ((1, 2), (2, None), (None, 1))]
+    log = micro(spark, events, ["o1", "o2", "i1", "i2", "i3", "c1"], o2o)
+    got = {x["arc"]: (x["total"], x["violating"]) for x in declare.check(log, arcs).collect()}
+    wrong = [(arcs[k].text(), got[k], brute(events, a, set(o2o))) for k, a in enumerate(arcs) if got[k] != brute(events, a, set(o2o))]
+    assert not wrong, wrong[:5]
+
+
 FIXTURE = [("place", 0, ["o1", "i1"]), ("place", 1, ["o2", "i2"]), ("pay", 2, ["o1"]), ("ship", 3, ["o1", "i1"]), ("pay", 4, ["o2"]), ("place", 5, ["o1", "i2"]), ("ship", 6, ["o2", "i2"])]
 
 
