@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm import imatch, jaccard, licenses, mixing, phrases, pieces, rules, secrets, substrings, toxicity, urls
+from loomtrace.llm import imatch, jaccard, languages, licenses, mixing, phrases, pieces, rules, secrets, substrings, toxicity, urls
 from loomtrace.llm._common import stored, table
 
 
@@ -68,5 +68,10 @@ def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op3_sentencepiece, op4_license_scans, op5_jaccard_join, op6_url_filters, op7_mix_to_weights, op8_imatch_fingerprints, op9_toxicity, op10_suffix_dedup, op11_phrase_mining)}
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return languages.identify(docs.select("doc_id", "text"), languages.fit(docs)).select("doc_id", languages.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op3_sentencepiece, op4_license_scans, op5_jaccard_join, op6_url_filters, op7_mix_to_weights, op8_imatch_fingerprints, op9_toxicity, op10_suffix_dedup, op11_phrase_mining, op12_language_id)}
 ORACLES = {"op6_url_filters": urls.ORACLE, "op7_mix_to_weights": mixing.ORACLE, "op11_phrase_mining": phrases.ORACLE}
