@@ -37,8 +37,8 @@ DEPTH, LEAST = 4, 30
 SHARE = 80
 #: Phrases reported for a language.
 TOP = 2000
-#: Words of a shard. Larger shards move fewer rows; about 60 bytes of memory a word.
-SHARD = 1_500_000
+#: Words of a shard. Larger shards move fewer rows; some 150 bytes of memory a word.
+SHARD = 750_000
 #: Bytes of text split into words at once; a longer text is taken alone.
 BLOCK = 1 << 20
 #: Bits of a Bloom filter for each frequent phrase, and at most (32 MB; beyond it the filter prunes less).
