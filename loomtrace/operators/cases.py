@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomtrace.operators import lives
+
 START, END = "__START", "__END"
 
 
@@ -15,16 +17,16 @@ def _by_case(*order: str):
 
 def dfg_edges(log: DataFrame) -> DataFrame:
     """(source, target, count) of directly following activities within a case."""
-    return (
-        log.select("activity", F.lead("activity").over(_by_case()).alias("target"))
-        .filter("target IS NOT NULL").groupBy(F.col("activity").alias("source"), "target").agg(F.count("*").alias("count")))
+    after = lives.neighbours(log.select("case_id", "activity", "ts", "pos"), ["case_id"], ["ts", "pos"], {"target": "activity"})
+    return after.filter("target IS NOT NULL").groupBy(F.col("activity").alias("source"), "target").agg(F.count("*").alias("count"))
 
 
 def dfg_nodes(log: DataFrame) -> DataFrame:
     """(activity, count, starts, ends): occurrences, and cases that start or end there."""
-    w = _by_case()
-    marked = log.select("activity", F.lag(F.lit(1)).over(w).isNull().alias("s"), F.lead(F.lit(1)).over(w).isNull().alias("e"))
-    return marked.groupBy("activity").agg(F.count("*").alias("count"), F.count_if("s").alias("starts"), F.count_if("e").alias("ends"))
+    ends = log.groupBy("case_id").agg(F.min_by("activity", F.struct("ts", "pos")).alias("s"), F.max_by("activity", F.struct("ts", "pos")).alias("e"))
+    marks = log.select("activity", F.lit("n").alias("mark")).unionByName(ends.select(F.explode(F.array(F.struct(F.col("s").alias("activity"), F.lit("s").alias("mark")), F.struct(F.col("e").alias("activity"), F.lit("e").alias("mark")))).alias("m")).select("m.*"))
+    total = lambda mark: F.count_if(F.col("mark") == mark)
+    return marks.groupBy("activity").agg(total("n").alias("count"), total("s").alias("starts"), total("e").alias("ends"))
 
 
 def traces(log: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomtrace.log import OCLog, ordered
+from loomtrace.operators.lives import neighbours
 
 INIT, EXIT = "<init>", "<exit>"
 
@@ -236,30 +237,35 @@ def variants_of_type(log: OCLog, ob_type: str) -> DataFrame:
     return object_traces(log, ob_type).groupBy("trace").agg(F.count("*").alias("freq"))
 
 
-def _lives():
-    return W.partitionBy("ob_type", "ob_id").orderBy(*ordered())
+def _sizes(log: OCLog) -> DataFrame:
+    """At most how many rows each object has in the event-object tables."""
+    return log.e2o.groupBy("ob_id").agg(F.count("*").alias("n"))
 
 
 def dfg_of_type(log: OCLog, ob_type: str) -> DataFrame:
     """(source, target, count) over the lives of objects of a type, on distinct pairs."""
-    return _df_pairs(log.e2o_d.filter(F.col("ob_type") == ob_type)).drop("ob_type")
+    return _df_pairs(log.e2o_d.filter(F.col("ob_type") == ob_type), log).drop("ob_type")
 
 
-def _df_pairs(d: DataFrame) -> DataFrame:
-    return d.select("ob_type", "ev_type", F.lead("ev_type").over(_lives()).alias("target")).filter("target IS NOT NULL").groupBy(
+def _df_pairs(d: DataFrame, log: OCLog) -> DataFrame:
+    lives = d.select("ob_type", "ob_id", "ts", "ev_id", "ev_type")
+    return neighbours(lives, ["ob_type", "ob_id"], ["ts", "ev_id"], {"target": "ev_type"}, 1, _sizes(log)).filter("target IS NOT NULL").groupBy(
         "ob_type", F.col("ev_type").alias("source"), "target").agg(F.count("*").alias("count"))
 
 
 def object_dfg(log: OCLog) -> DataFrame:
     """(ob_type, source, target, count) for every type; an event counts once for each qualifier."""
-    return _df_pairs(log.e2o_raw)
+    return _df_pairs(log.e2o_raw, log)
 
 
 def object_dfg_nodes(log: OCLog) -> DataFrame:
     """(ob_type, activity, count, starts, ends) for every type."""
-    w = _lives()
-    m = log.e2o_raw.select("ob_type", F.col("ev_type").alias("activity"), F.lag(F.lit(1)).over(w).isNull().alias("s"), F.lead(F.lit(1)).over(w).isNull().alias("e"))
-    return m.groupBy("ob_type", "activity").agg(F.count("*").alias("count"), F.count_if("s").alias("starts"), F.count_if("e").alias("ends"))
+    at = F.struct(*ordered())
+    counts = log.e2o_raw.groupBy("ob_type", F.col("ev_type").alias("activity")).agg(F.count("*").alias("count"))
+    ends = log.e2o_raw.groupBy("ob_type", "ob_id").agg(F.min_by("ev_type", at).alias("s"), F.max_by("ev_type", at).alias("e"))
+    one = lambda c, name: ends.groupBy("ob_type", F.col(c).alias("activity")).agg(F.count("*").alias(name))
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return counts.join(one("s", "starts"), ["ob_type", "activity"], "left").join(one("e", "ends"), ["ob_type", "activity"], "left").select("ob_type", "activity", "count", none("starts"), none("ends"))
 
 
 def flatten(log: OCLog, ob_type: str) -> DataFrame:
@@ -286,7 +292,7 @@ def with_init_exit(log: OCLog) -> OCLog:
 
 def _predecessors(log: OCLog) -> DataFrame:
     """(ev_id, ob_id, ts, prev): time of the object's event before, by (time, id)."""
-    return log.e2o_d.select("ev_id", "ev_type", "ob_id", "ts", F.lag("ts").over(W.partitionBy("ob_id").orderBy("ts", "ev_id")).alias("prev")).filter("prev IS NOT NULL")
+    return neighbours(log.e2o_d.select("ev_id", "ev_type", "ob_id", "ts"), ["ob_id"], ["ts", "ev_id"], {"prev": "ts"}, -1, _sizes(log)).filter("prev IS NOT NULL")
 
 
 def _top(df: DataFrame, value: str, top_k: int | None) -> DataFrame:
@@ -301,6 +307,13 @@ def sync_times(log: OCLog, top_k: int | None = None) -> DataFrame:
     return _top(ready.select("ev_id", "ev_type", (F.col("hi") - F.col("lo")).alias("sync_us"), F.col("m.ob_id").alias("delaying")), "sync_us", top_k)
 
 
+def waiting_times(log: OCLog) -> DataFrame:
+    """(ev_id, ev_type, ts, sojourn_us, sync_us, delaying): sojourn_times and sync_times in one pass."""
+    u = F.unix_micros("prev")
+    ready = _predecessors(log).groupBy("ev_id", "ev_type", "ts").agg(F.max(u).alias("hi"), F.min(u).alias("lo"), F.min(F.struct((-u).alias("k"), "ob_id")).alias("m"))
+    return ready.select("ev_id", "ev_type", "ts", (F.unix_micros("ts") - F.col("hi")).alias("sojourn_us"), (F.col("hi") - F.col("lo")).alias("sync_us"), F.col("m.ob_id").alias("delaying"))
+
+
 def sojourn_times(log: OCLog, top_k: int | None = None) -> DataFrame:
     """(ev_id, ev_type, sojourn_us): time since the latest predecessor of any of its objects."""
     p = _predecessors(log).groupBy("ev_id", "ev_type").agg((F.max(F.unix_micros("ts")) - F.max(F.unix_micros("prev"))).alias("sojourn_us"))
