@@ -278,3 +278,33 @@ c AS MATERIALIZED (SELECT a, b FROM c1 UNION ALL SELECT a, b FROM c2 UNION ALL S
 #: Chains of maps per pair of types, and the types to keep: here those that no chain leads to, which is
 #: the least set where no two types lead to each other.
 MAP_CLOSURE = _MAPS + "SELECT a AS source, b AS target, count(*) AS chains FROM c GROUP BY 1, 2 UNION ALL SELECT ob_type, 'kept', 0 FROM n WHERE ob_type NOT IN (SELECT b FROM c)"
+
+#: A sequence of place and all ships side by side, whose leaves have the types that the log gives them: the facts of
+#: the log and of this tree written out, and their shares.
+LANGUAGE_FITNESS = """+ev2 AS (SELECT DISTINCT ev_id, ev_type FROM d), n AS (SELECT ev_type, count(*) AS events FROM ev2 GROUP BY 1),
+c AS (SELECT ev_type, ob_type, count(*) AS carrying, max(n) AS high FROM (SELECT ev_id, ev_type, ob_type, count(*) AS n FROM d GROUP BY ALL) GROUP BY 1, 2),
+m AS (SELECT ev_type, ob_type, count(DISTINCT ob_id) AS met FROM d GROUP BY 1, 2), t AS (SELECT ob_type, count(DISTINCT ob_id) AS objects FROM d GROUP BY 1),
+rest AS (SELECT x.ev_id, x.ob_type, coalesce((SELECT list_sort(list(y.ob_id)) FROM d y WHERE y.ev_id = x.ev_id AND y.ob_type <> x.ob_type), []) AS os FROM (SELECT DISTINCT ev_id, ob_type FROM d) x),
+v AS (SELECT DISTINCT ev_type, ob_type FROM (SELECT d.ev_type, d.ob_type, d.ob_id, count(DISTINCT os) AS q FROM d JOIN rest USING (ev_id, ob_type) GROUP BY ALL) WHERE q > 1),
+rel AS MATERIALIZED (SELECT c.ev_type, c.ob_type, carrying < events AS deficient, high > 1 AS convergent, v.ev_type IS NOT NULL AS divergent, met < objects AS optional FROM c JOIN n USING (ev_type)
+  JOIN m ON m.ev_type = c.ev_type AND m.ob_type = c.ob_type JOIN t ON t.ob_type = c.ob_type LEFT JOIN v ON v.ev_type = c.ev_type AND v.ob_type = c.ob_type),
+life AS (SELECT ob_type, ev_type, lead(ev_type) OVER w AS next, lag(ev_type) OVER w IS NULL AS first FROM e2o JOIN ev USING (ev_id) JOIN ob USING (ob_id) WINDOW w AS (PARTITION BY ob_id ORDER BY ts, ev_id)),
+lp AS MATERIALIZED (SELECT DISTINCT ob_type, ev_type AS source, next AS target FROM life WHERE next IS NOT NULL),
+base AS (SELECT 'related' AS kind, ob_type, ev_type AS activity FROM rel UNION ALL SELECT 'divergent', ob_type, ev_type FROM rel WHERE divergent),
+lk AS MATERIALIZED (SELECT * FROM base UNION ALL SELECT 'convergent', ob_type, ev_type FROM rel WHERE convergent UNION ALL SELECT 'deficient', ob_type, ev_type FROM rel WHERE deficient
+  UNION ALL SELECT 'optional', ob_type, ev_type FROM rel WHERE optional UNION ALL SELECT DISTINCT 'start', ob_type, ev_type FROM life WHERE first UNION ALL SELECT DISTINCT 'end', ob_type, ev_type FROM life WHERE next IS NULL),
+room AS (SELECT x.ob_type AS many, y.ob_type AS single, bool_and(coalesce(p.divergent OR p.convergent, false) OR coalesce(q.divergent OR q.deficient, false)) AS ok
+  FROM t x, t y, n LEFT JOIN rel p ON p.ev_type = n.ev_type AND p.ob_type = x.ob_type LEFT JOIN rel q ON q.ev_type = n.ev_type AND q.ob_type = y.ob_type GROUP BY 1, 2),
+leaf AS (SELECT t.ob_type, n.ev_type AS a, rel.ev_type IS NOT NULL AS related, coalesce(divergent, false) AS again, rel.ev_type IS NULL OR divergent AS skip FROM t CROSS JOIN n LEFT JOIN rel ON rel.ev_type = n.ev_type AND rel.ob_type = t.ob_type),
+side AS (SELECT ob_type, bool_and(skip) FILTER (a = 'place') AS place_skip, bool_and(skip) FILTER (a <> 'place') AS ship_skip FROM leaf GROUP BY 1),
+mk AS MATERIALIZED (SELECT * FROM base UNION ALL SELECT 'optional', ob_type, ev_type FROM rel WHERE divergent
+  UNION ALL SELECT 'convergent', r.ob_type, r.ev_type FROM rel r WHERE convergent AND (deficient OR divergent OR NOT EXISTS (SELECT 1 FROM rel o JOIN room ON many = r.ob_type AND single = o.ob_type WHERE o.ev_type = r.ev_type AND o.ob_type <> r.ob_type AND NOT o.convergent AND NOT o.divergent AND NOT ok))
+  UNION ALL SELECT 'deficient', r.ob_type, r.ev_type FROM rel r WHERE deficient AND (convergent OR divergent OR NOT EXISTS (SELECT 1 FROM rel o JOIN room ON many = o.ob_type AND single = r.ob_type WHERE o.ev_type = r.ev_type AND o.ob_type <> r.ob_type AND NOT o.deficient AND NOT o.divergent AND NOT ok))
+  UNION ALL SELECT 'start', ob_type, a FROM leaf JOIN side USING (ob_type) WHERE related AND (a = 'place' OR place_skip) UNION ALL SELECT 'end', ob_type, a FROM leaf JOIN side USING (ob_type) WHERE related AND (a <> 'place' OR ship_skip)),
+mp AS MATERIALIZED (SELECT ob_type, a AS source, a AS target FROM leaf WHERE again
+  UNION SELECT ob_type, x.a, y.a FROM leaf x JOIN leaf y USING (ob_type) JOIN side USING (ob_type) WHERE x.related AND y.related AND x.a <> y.a AND (y.a <> 'place' OR place_skip AND ship_skip)),
+acts AS (SELECT source AS a FROM lp UNION SELECT target FROM lp),
+ks AS (SELECT activity, kind, count(l) AS l, count(r) AS r, count(l + r) AS m FROM (SELECT *, 1 AS l FROM lk) FULL JOIN (SELECT *, 1 AS r FROM mk) USING (kind, ob_type, activity) WHERE activity IN (SELECT a FROM acts) GROUP BY 1, 2),
+ka AS (SELECT activity, avg(m / l) FILTER (l > 0) AS f, avg(m / r) FILTER (r > 0) AS p FROM ks GROUP BY 1),
+ps AS (SELECT source, target, count(l) AS l, count(r) AS r, count(l + r) AS m FROM (SELECT *, 1 AS l FROM lp) FULL JOIN (SELECT *, 1 AS r FROM mp) USING (ob_type, source, target) WHERE source IN (SELECT a FROM acts) AND target IN (SELECT a FROM acts) GROUP BY 1, 2)
+SELECT round(((SELECT coalesce(avg(f), 0) FROM ka) + (SELECT coalesce(avg(m / l) FILTER (l > 0), 0) FROM ps)) / 2, 6) AS fitness, round(((SELECT coalesce(avg(p), 0) FROM ka) + (SELECT coalesce(avg(m / r) FILTER (r > 0), 0) FROM ps)) / 2, 6) AS precision"""

@@ -487,14 +487,21 @@ def language_relations(spark: SparkSession, d: str) -> DataFrame:
     return abstraction.relations(trade_log(spark, d))
 
 
-@query()
-def language_fitness_precision(spark: SparkSession, d: str) -> DataFrame:
+def order_tree():
+    """An order is placed, then its parts ship in any order of the flags; what types take part is for the log to say."""
     from loomtrace.plans import tree
 
-    ship = [tree.leaf(f"ship_{f}", ["order", "part", "supplier"], ["part", "supplier"], [], ["part", "supplier", "order"], ["order", "part", "supplier"]) for f in "ANR"]
-    model = tree.node(tree.SEQ, tree.leaf("place", ["order", "customer"], [], [], ["customer"], ["customer"]), tree.node(tree.AND, *ship))
-    fit, prec = tree.fitness_precision(abstraction.abstraction_of_log(trade_log(spark, d)), tree.abstraction_of_tree(model))
-    return spark.createDataFrame([(round(fit, 6), round(prec, 6))], "fitness double, precision double")
+    return tree.node(tree.SEQ, tree.leaf("place"), tree.node(tree.AND, *[tree.leaf(f"ship_{f}") for f in "ANR"]))
+
+
+@query(oracles.LANGUAGE_FITNESS, True)
+def language_fitness_precision(spark: SparkSession, d: str) -> DataFrame:
+    from loomtrace.plans.octree import annotated
+
+    log = abstraction.facts_of_log(trade_log(spark, d))
+    model = annotated(order_tree(), abstraction.leaf_types(log[0]))
+    found = abstraction.fitness_precision(log, abstraction.facts_of_tree(spark, model))
+    return found.select(*[F.round(c, 6).alias(c) for c in ("fitness", "precision")])
 
 
 # -- attributes, nested rows, models

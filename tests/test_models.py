@@ -107,13 +107,3 @@ def test_trees():
     assert f.pairs == {("a", "b"), ("b", "c"), ("a", "c")} and f.starts == {"a"} and f.ends == {"c"} and not f.skip
     g = tree.footprint(TREE)
     assert {("a", "b"), ("b", "c"), ("c", "b"), ("b", "r"), ("r", "c"), ("c", "d")} <= g.pairs and ("a", "d") not in g.pairs
-
-
-def test_language_abstraction():
-    t = tree.node(tree.SEQ, tree.leaf("place", ["o", "c"], [], [], ["c"]), tree.node(tree.AND, tree.leaf("pay", ["o"]), tree.leaf("pack", ["o", "i"], ["i"], [], [], ["i"])))
-    a = tree.abstraction_of_tree(t)
-    assert tree.fitness_precision(a, a) == (1.0, 1.0)
-    assert a.pairs["o"] == {("place", "pay"), ("place", "pack"), ("pay", "pack"), ("pack", "pay")} and a.pairs["c"] == {("place", "place")}
-    less = tree.abstraction_of_tree(tree.node(tree.SEQ, tree.leaf("place", ["o", "c"], [], [], ["c"]), tree.leaf("pay", ["o"])))
-    fit, prec = tree.fitness_precision(a, less)
-    assert fit < 1 and prec == 1.0
