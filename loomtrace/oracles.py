@@ -88,6 +88,47 @@ least_ AS (SELECT h.* FROM good h WHERE NOT EXISTS (SELECT 1 FROM good m WHERE m
 NEGATIVE_DISCOVER = negative_minimal(0.1) + f"SELECT a AS source, b AS target, arrow, label, {_TEXT.format(low=0, high=0)} AS text FROM (SELECT *, {LABEL} AS label FROM least_ WHERE testable > 0)"
 
 
+#: Rows of the negative lattice with the least number of events lost right below each, and what a threshold makes of them.
+_LOSSES = NEGATIVE_ROWS + """,
+lost AS MATERIALIZED (SELECT *, total - satisfying_all AS violating, {label} AS label FROM rows_),
+spans AS MATERIALIZED (SELECT h.*, (SELECT min(m.violating) FROM lost m WHERE m.a = h.a AND m.b = h.b AND (
+    m.arrow = h.arrow AND (m.vo, m.vp, m.vs) <> (h.vo, h.vp, h.vs) AND m.vo <= h.vo AND m.vp <= h.vp AND m.vs <= h.vs
+    OR h.arrow <> 'AS' AND m.arrow = 'AS' AND m.vo <= h.vo AND m.vp <= h.vp AND m.vs <= h.vs)) AS until FROM lost h),
+noise AS (SELECT unnest({noises}::DOUBLE[]) AS noise),
+model AS MATERIALIZED (SELECT * FROM spans, noise WHERE testable > 0 AND total - violating >= (1 - noise) * total AND (until IS NULL OR NOT total - until >= (1 - noise) * total))
+"""
+_SAY = "{x}.arrow || '(' || {x}.a || ', ' || {x}.b || CASE WHEN {x}.label = '' THEN '' ELSE ', ' || {x}.label END || ')'"
+_UNDER = "x.vo <= y.vo AND x.vp <= y.vp AND x.vs <= y.vs"
+
+
+def losses(noises: tuple[float, ...]) -> str:
+    return _LOSSES.format(label=LABEL, noises=list(noises))
+
+
+NEGATIVE_THRESHOLDS = losses(()) + "SELECT a AS source, b AS target, arrow, label, total, testable, violating, until FROM spans"
+
+
+def negative_antichain(noises: tuple[float, ...]) -> str:
+    return losses(noises) + f"""SELECT noise, (SELECT count(*) FROM model m WHERE m.noise = n.noise) AS arcs, count(p.w) AS comparable, min(p.w) AS witness FROM noise n LEFT JOIN
+(SELECT x.noise, {_SAY.format(x='x')} || ' < ' || {_SAY.format(x='y')} AS w FROM model x JOIN model y ON x.noise = y.noise AND x.a = y.a AND x.b = y.b AND (x.arrow, x.vo, x.vp, x.vs) <> (y.arrow, y.vo, y.vp, y.vs) AND (x.arrow = y.arrow OR x.arrow = 'AS') AND {_UNDER}) p USING (noise) GROUP BY 1"""
+
+
+def negative_upward(noises: tuple[float, ...]) -> str:
+    return losses(noises) + f""", rated AS MATERIALIZED (SELECT *, testable > 0 AND total - violating >= (1 - noise) * total AS clears, CASE WHEN testable > 0 THEN satisfying::DOUBLE / testable ELSE 0 END AS share FROM lost, noise),
+broken AS MATERIALIZED (SELECT x.noise, x.a, x.b, x.arrow, round(greatest(x.share - y.share, 0), 6) AS drop, {_SAY.format(x='x')} || ' < ' || {_SAY.format(x='y')} AS w FROM rated x JOIN rated y ON x.noise = y.noise AND x.a = y.a AND x.b = y.b AND x.arrow = y.arrow AND {_UNDER} WHERE x.clears AND NOT y.clears)
+SELECT noise, (SELECT count(*) FROM rated r WHERE r.noise = n.noise AND clears) AS clearing, count(w) AS breaks, count(DISTINCT (b.a, b.b, b.arrow)) FILTER (w IS NOT NULL) AS units, coalesce(max(drop), 0) AS worst, arg_min(w, (-drop, w)) AS witness FROM noise n LEFT JOIN broken b USING (noise) GROUP BY 1"""
+
+
+#: Ships of an order are placed: whatever no placing shares order and arrow with, no ship of it does.
+def negative_carry(noises: tuple[float, ...]) -> str:
+    return losses(noises) + f""", got AS (SELECT DISTINCT m.noise, c.* FROM model m JOIN lost c ON m.b = 'place' AND m.arrow = 'AS' AND c.arrow = 'AS' AND c.a = m.a AND c.b LIKE 'ship_%' AND c.a <> c.b AND (c.vo, c.vp, c.vs) = (m.vo, m.vp, m.vs) AND m.vo > 0)
+SELECT noise, count(a) AS derived, count(a) FILTER (NOT total - violating >= (1 - noise) * total) AS broken, min({_SAY.format(x='got')}) FILTER (NOT total - violating >= (1 - noise) * total) AS witness FROM noise LEFT JOIN got USING (noise) GROUP BY 1"""
+
+
+EQUIVALENCE = """SELECT 'order' AS types, 'place' AS first, 'ship_' || f AS second, 2 * sum((l IS NOT NULL)::INT)::BIGINT AS paired, sum((l IS NULL)::INT)::BIGINT AS broken
+FROM (SELECT f, o_orderkey FROM orders, (VALUES ('A'), ('R')) t(f)) LEFT JOIN (SELECT DISTINCT l_returnflag AS f, l_orderkey AS o_orderkey, 1 AS l FROM lineitem) USING (f, o_orderkey) GROUP BY f"""
+
+
 #: Existence arcs: a binding of one object per EACH type must meet an event at the levels of the others.
 EXISTENCE_ROWS = STATES + _levels("[0, 1, 2, 3]", "[0, 2]") + f""",
 down AS (SELECT x.i AS xo, y.i AS xt, bit_or(1 << (3 * u.i + z.i)::INT) AS bits FROM (SELECT unnest([0, 2]) AS i) x, (SELECT unnest([0, 1, 2]) AS i) y, (SELECT unnest([0, 1]) AS i) u, (SELECT unnest([0, 1, 2]) AS i) z

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtrace import oracles
-from loomtrace.operators import abstraction, cases, conformance, declare, negative, objects, paths
+from loomtrace.operators import abstraction, cases, conformance, declare, lattice, negative, objects, paths
 from loomtrace.plans.declare import Arc, Label
 from loomtrace.sources.testdata import TRADE_SQL, dialog_log, trade_log, user_day_log, user_log
 
@@ -372,6 +372,47 @@ def existence_candidate_table(spark: SparkSession, d: str) -> DataFrame:
     return declare.candidate_table(trade_log(spark, d), ("AS", "EF", "EP"), False)[1]
 
 
+NOISES = (0.0, 0.1, 0.2)
+#: Every ship is of an order that was placed; and claims that do not hold, to be counted.
+PLACED = [Arc(f"ship_{f}", "place", "AS", Label.of(all=["order"])) for f in "ANR"]
+CLAIMS = [arc for f in "AR" for arc in (Arc(f"ship_{f}", "place", "AS", Label.of(all=["order"])), Arc("place", f"ship_{f}", "AS", Label.of(all=["order"])))]
+
+
+def _lattice(spark: SparkSession, d: str):
+    log = trade_log(spark, d)
+    arcs = lattice.negative_arcs(log)
+    table = lattice.candidates(log, arcs)
+    return log, arcs, table, lattice.discovered_at(table)
+
+
+@query(oracles.NEGATIVE_THRESHOLDS, True)
+def negative_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    """For every candidate how many events it loses, and how many at least are lost right below it."""
+    return _lattice(spark, d)[3].select("source", "target", "arrow", "label", "total", "testable", "violating", "until")
+
+
+@query(oracles.negative_antichain(NOISES), True)
+def negative_antichain_check(spark: SparkSession, d: str) -> DataFrame:
+    return lattice.comparable(_lattice(spark, d)[3], NOISES)
+
+
+@query(oracles.negative_upward((0.0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3)), True)
+def negative_upward_check(spark: SparkSession, d: str) -> DataFrame:
+    return lattice.upward_breaks(_lattice(spark, d)[2], (0.0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3))
+
+
+@query(oracles.negative_carry(NOISES), True)
+def negative_carry_check(spark: SparkSession, d: str) -> DataFrame:
+    log, arcs, table, spans = _lattice(spark, d)
+    return lattice.derived(table, arcs, spans, negative.knowledge(log, PLACED), NOISES, "target")
+
+
+@query(oracles.EQUIVALENCE)
+def negative_equivalence_check(spark: SparkSession, d: str) -> DataFrame:
+    log = trade_log(spark, d)
+    return lattice.unpaired(log, negative.knowledge(log, CLAIMS))
+
+
 # -- path schemas
 
 ORDER, CUSTOMER, PART, PLACE, SHIP_A = ("object", "order"), ("object", "customer"), ("object", "part"), ("event", "place"), ("event", "ship_A")
