@@ -349,3 +349,24 @@ ks AS (SELECT activity, kind, count(l) AS l, count(r) AS r, count(l + r) AS m FR
 ka AS (SELECT activity, avg(m / l) FILTER (l > 0) AS f, avg(m / r) FILTER (r > 0) AS p FROM ks GROUP BY 1),
 ps AS (SELECT source, target, count(l) AS l, count(r) AS r, count(l + r) AS m FROM (SELECT *, 1 AS l FROM lp) FULL JOIN (SELECT *, 1 AS r FROM mp) USING (ob_type, source, target) WHERE source IN (SELECT a FROM acts) AND target IN (SELECT a FROM acts) GROUP BY 1, 2)
 SELECT round(((SELECT coalesce(avg(f), 0) FROM ka) + (SELECT coalesce(avg(m / l) FILTER (l > 0), 0) FROM ps)) / 2, 6) AS fitness, round(((SELECT coalesce(avg(p), 0) FROM ka) + (SELECT coalesce(avg(m / r) FILTER (r > 0), 0) FROM ps)) / 2, 6) AS precision"""
+
+#: Which cells of the trade log its two relations rebuild: customers from orders, orders from their only customer's
+#: orders, parts from orders, orders from the parts that contain them; each checked over all events.
+STRUCTURE = """+cell AS (SELECT ev_type, ob_type, count(*) AS before FROM d GROUP BY 1, 2),
+rel AS (SELECT DISTINCT x.ob_type AS s, y.ob_type AS t, src_id AS x, tgt_id AS y, 'forth' AS way FROM o2o JOIN ob x ON x.ob_id = src_id JOIN ob y ON y.ob_id = tgt_id),
+once AS (SELECT s, t FROM (SELECT s, t, x, count(*) AS k FROM rel GROUP BY ALL) GROUP BY 1, 2 HAVING max(k) = 1),
+way AS (SELECT * FROM rel UNION ALL SELECT t, s, y, x, 'back' FROM rel JOIN once USING (s, t)),
+img AS (SELECT d.ev_id, way.way, s, t, list_sort(list(DISTINCT y)) AS ys FROM d JOIN way ON x = ob_id GROUP BY ALL),
+own AS (SELECT ev_id, ev_type, ob_type, list_sort(list(ob_id)) AS os FROM d GROUP BY 1, 2, 3),
+pair AS (SELECT DISTINCT s, t, way FROM way),
+judged AS (SELECT e.ev_type, pair.s, pair.t, pair.way, bool_and((a.os IS NULL) = (b.os IS NULL) AND coalesce(b.os, []) = coalesce(img.ys, [])) AS ok, bool_or(a.os IS NOT NULL) AS seen FROM pair CROSS JOIN (SELECT DISTINCT ev_id, ev_type FROM d) e
+  LEFT JOIN own a ON a.ev_id = e.ev_id AND a.ob_type = pair.s LEFT JOIN own b ON b.ev_id = e.ev_id AND b.ob_type = pair.t LEFT JOIN img ON img.ev_id = e.ev_id AND img.s = pair.s AND img.t = pair.t AND img.way = pair.way GROUP BY 1, 2, 3, 4),
+steps AS (SELECT DISTINCT ev_type, s, t FROM judged WHERE ok AND seen),
+kept AS (SELECT ev_type, ob_type FROM cell EXCEPT SELECT ev_type, t FROM steps),
+-- activities that share an object of a type both keep, all of them and the kept ones
+edge AS (SELECT DISTINCT x.ev_type AS a, y.ev_type AS b, x.ob_type FROM d x JOIN d y USING (ob_id)),
+meet AS (SELECT 'before' AS g, a, b FROM edge UNION SELECT 'after', a, b FROM edge JOIN kept x ON x.ev_type = a AND x.ob_type = edge.ob_type JOIN kept y ON y.ev_type = b AND y.ob_type = edge.ob_type),
+reach(g, a, b) AS (SELECT g, a, b FROM meet UNION SELECT r.g, r.a, m.b FROM reach r JOIN meet m ON m.g = r.g AND m.a = r.b),
+parts AS (SELECT g, count(DISTINCT low) AS n FROM (SELECT g, a, min(b) AS low FROM reach GROUP BY 1, 2) GROUP BY 1)
+SELECT c.ev_type AS activity, c.ob_type, k.ev_type IS NOT NULL AS kept, before, CASE WHEN k.ev_type IS NULL THEN 0 ELSE before END::BIGINT AS after, (SELECT n FROM parts WHERE g = 'before') AS parts_before, (SELECT n FROM parts WHERE g = 'after') AS parts_after
+FROM cell c LEFT JOIN kept k ON k.ev_type = c.ev_type AND k.ob_type = c.ob_type"""

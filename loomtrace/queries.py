@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtrace import oracles
-from loomtrace.operators import abstraction, cases, conformance, declare, lattice, negative, objects, paths
+from loomtrace.operators import abstraction, cases, conformance, declare, lattice, negative, objects, paths, reduction
 from loomtrace.plans.declare import Arc, Label
 from loomtrace.sources.testdata import TRADE_SQL, dialog_log, trade_log, user_day_log, user_log
 
@@ -635,3 +635,10 @@ def oc_map_closure(spark: SparkSession, d: str) -> DataFrame:
     found = [(r["first"], r["second"], r["orientation"]) for r in objects.functional_maps(log).collect()]
     kept = maps.least_kept({r[0] for r in objects.object_types(log).collect()}, found)
     return spark.createDataFrame([(a, b, len(c)) for (a, b), c in sorted(maps.compositions(found).items())] + [(t, "kept", 0) for t in sorted(kept)], "source string, target string, chains long")
+
+
+@query(oracles.STRUCTURE, True, True)
+def oc_structure_reduction(spark: SparkSession, d: str) -> DataFrame:
+    """Cells that the recorded relations rebuild are cut; the SQL takes it that none of them rebuilds another in turn."""
+    log = trade_log(spark, d)
+    return reduction.report(log, reduction.reduce_log(log))
