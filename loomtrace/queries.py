@@ -548,6 +548,22 @@ def language_fitness_precision(spark: SparkSession, d: str) -> DataFrame:
 # -- attributes, nested rows, models
 
 
+@query("""WITH e AS (SELECT event_type AS activity, CAST(json_extract(props, '$.k') AS BIGINT) AS k, value FROM events)
+SELECT activity, CASE WHEN k >= 50 THEN 'high' ELSE 'low' END AS level, count(*) AS events, count(k) AS numbered, round(sum(value), 4) AS value, 0::BIGINT AS raw FROM e GROUP BY 1, 2""")
+def case_attribute_edits(spark: SparkSession, d: str) -> DataFrame:
+    """Events get nested attributes, one is moved and one removed; counted by what is read from them again."""
+    from loomtrace.functions import attributes as at
+
+    raw = spark.read.parquet(f"{d}/events.parquet").select("event_type", "value", F.get_json_object("props", "$.k").alias("k"))
+    m = F.col("attrs")
+    log = raw.withColumn("attrs", at.put(at.put(F.lit(None).cast(at.ATTRS), F.col("value"), "float", "value"), F.col("k"), "int", "props", "k"))
+    level = F.when(at.get(m, "props", "k")["value"].cast("long") >= 50, "high").otherwise("low")
+    log = log.withColumn("attrs", at.put(m, level, "string", "props", "level")).withColumn("attrs", at.remove(at.rename(m, "value", "amount"), "raw"))
+    number = lambda e: e["value"].cast("double")
+    return log.groupBy(F.col("event_type").alias("activity"), at.get(m, "props", "level")["value"].alias("level")).agg(
+        F.count("*").alias("events"), F.count(at.get(m, "props", "k")["value"]).alias("numbered"), F.round(F.sum(number(at.get(m, "amount"))), 4).alias("value"), F.count(at.get(m, "value")).alias("raw"))
+
+
 @query("SELECT 'p' || o_orderkey AS ev_id, epoch_us(o_orderdate::TIMESTAMP) AS ts_us, o_orderpriority AS priority, o_orderstatus AS status FROM orders")
 def oc_event_table(spark: SparkSession, d: str) -> DataFrame:
     return objects.event_table(trade_log(spark, d), "place", ["priority", "status"]).withColumn("ts_us", F.unix_micros("ts")).drop("ts")

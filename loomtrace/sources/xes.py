@@ -17,8 +17,10 @@ from dataclasses import dataclass, field
 from xml.sax.saxutils import quoteattr
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomtrace.functions.attributes import ATTRS
 from loomtrace.functions.timestamps import parse_timestamp, rfc3339
 from loomtrace.operators.cases import class_identity
 
@@ -129,8 +131,47 @@ def read_xes(spark: SparkSession, path: str, trace_attributes: Iterable[str] | N
     """Events (case_id, activity, ts, pos, attrs, case_attrs); a trace without events is a row with
     a null pos. Attribute lists choose what is kept; globals_ fills missing names and activities."""
     rows = spark.read.format("xml").option("rowTag", "trace").schema(_TRACE).load(path)
+    return _events(rows.withColumn("row", F.monotonically_increasing_id()), trace_attributes, event_attributes, date_format, sort_by_time, globals_)
+
+
+_CLOSE = "</trace>"
+
+
+def scan_traces(spark: SparkSession, path: str) -> DataFrame:
+    """(file, row, trace, error, text) of every trace element of XES files, the broken ones too.
+
+    Files are cut at the ends of traces while they are read as text, so a large file is read in ranges of bytes by many
+    tasks (a compressed one by one). A trace is parsed for itself: what is not well formed, begins again before it ends,
+    or is cut off by the end of the file is a row with an error and its text, and harms no other. Text outside of traces
+    gives no row. Ends of traces are looked for as they are written, so a comment that holds one is an error, too.
+    """
+    raw = spark.read.option("lineSep", _CLOSE).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("row"), "value")
+    # the last piece of a file is a trace only if the file goes on to its end; sizes of compressed files do not tell
+    length = F.sum(F.octet_length("value") + len(_CLOSE))
+    ends = raw.groupBy("file").agg(F.max("row").alias("last"), (length - F.max("size") == len(_CLOSE)).alias("open"))
+    parts = raw.join(F.broadcast(ends), "file").select("file", "row", (F.col("open") & (F.col("row") == F.col("last"))).alias("cut"), F.posexplode(F.split("value", r"(?=<trace[\s/>])")).alias("n", "text"))  # a row per file
+    parts = parts.filter(F.col("text").rlike(r"^<trace[\s/>]")).withColumn("closed", F.col("text").rlike(r"^<trace(\s[^>]*)?/>\s*(</log>\s*)?$"))
+    ordered = W.partitionBy("file", "row").orderBy("n")
+    parts = parts.withColumn("more", F.lead("n").over(ordered).isNotNull())
+    whole = F.when(F.col("closed"), F.regexp_extract("text", r"^<trace[^>]*/>", 0)).otherwise(F.concat("text", F.lit(_CLOSE)))
+    parsed = parts.withColumn("trace", F.from_xml(whole, _TRACE + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    error = F.when(~F.col("closed") & F.col("more"), "a trace begins before this one ends").when(~F.col("closed") & F.col("cut"), "the file ends before the trace").when(
+        F.col("trace").isNull() | F.col("trace._bad").isNotNull(), "not well formed")
+    marked = parsed.withColumn("error", error)
+    return marked.select("file", (F.col("row") * 1_000_000 + F.col("n")).alias("row"), F.when(F.col("error").isNull(), F.col("trace").dropFields("_bad")).alias("trace"), "error", F.when(F.col("error").isNotNull(), F.col("text")).alias("text"))
+
+
+def read_xes_safely(spark: SparkSession, path: str, trace_attributes: Iterable[str] | None = None, event_attributes: Iterable[str] | None = None, date_format: str | None = None, sort_by_time: bool = False, globals_: Header | None = None) -> tuple[DataFrame, DataFrame]:
+    """read_xes of the traces that can be read, and (file, row, error, text) of those that can't."""
+    scan = scan_traces(spark, path)
+    good = scan.filter("error IS NULL").select("row", "trace.*")
+    return _events(good, trace_attributes, event_attributes, date_format, sort_by_time, globals_), scan.filter("error IS NOT NULL").select("file", "row", "error", "text")
+
+
+def _events(rows: DataFrame, trace_attributes: Iterable[str] | None, event_attributes: Iterable[str] | None, date_format: str | None, sort_by_time: bool, globals_: Header | None) -> DataFrame:
+    """Events of rows of traces, numbered by row."""
     keep = lambda names, own: None if names is None else {*names, *own}
-    rows = rows.select(_pairs(None, keep(trace_attributes, [CASE])).alias("case_attrs"), "event", F.monotonically_increasing_id().alias("row"))
+    rows = rows.select(_pairs(None, keep(trace_attributes, [CASE])).alias("case_attrs"), "event", "row")
     events = rows.select("row", "case_attrs", F.posexplode_outer("event").alias("pos", "event"))
     events = events.select("row", "case_attrs", F.col("pos").cast("long").alias("pos"), F.when(F.col("event").isNotNull(), _pairs("event", keep(event_attributes, [ACTIVITY, TIME]))).alias("attrs"))
     g = globals_ or Header()
@@ -138,8 +179,6 @@ def read_xes(spark: SparkSession, path: str, trace_attributes: Iterable[str] | N
     act = F.coalesce(F.col("attrs")[ACTIVITY]["value"], F.lit(g.event_globals.get(ACTIVITY)))
     out = events.select(name.alias("case_id"), act.alias("activity"), parse_timestamp(F.col("attrs")[TIME]["value"], date_format).alias("ts"), "pos", "attrs", "case_attrs")
     if sort_by_time:
-        from pyspark.sql import Window as W
-
         out = out.withColumn("pos", F.when(F.col("pos").isNotNull(), F.row_number().over(W.partitionBy("case_id").orderBy(F.col("ts").asc_nulls_last(), "pos")) - 1).cast("long"))
     return out
 
@@ -200,17 +239,20 @@ def read_log(spark: SparkSession, path: str, fmt: str | None = None, **options)
     if kind in ("xes", "xes.gz"):
         return read_xes(spark, path, **options)
     if kind in ("json", "json.gz"):
-        return spark.read.schema("case_id string, activity string, ts timestamp, pos long").json(path)
+        return spark.read.schema(f"case_id string, activity string, ts timestamp, pos long, attrs {ATTRS}, case_attrs {ATTRS}").json(path)
     if kind == "parquet":
         return spark.read.parquet(path)
     raise ValueError(f"unknown format of {path}")
 
 
 def write_log(log: DataFrame, path: str, fmt: str | None = None, header: Header | None = None) -> None:
-    """xes and xes.gz are one document; json (lines) and parquet are directories written in parallel."""
+    """xes and xes.gz are one document; json (lines), json.gz and parquet are directories written in parallel, with all
+    attributes, nested ones too."""
     kind = fmt or infer_format(path)
     if kind in ("xes", "xes.gz"):
         write_xes(log, path, header)
+    elif kind == "json.gz":
+        log.write.mode("overwrite").option("compression", "gzip").json(path)
     elif kind in ("json", "parquet"):
         log.write.mode("overwrite").format(kind).save(path)
     else:
