@@ -29,18 +29,28 @@ def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near duplicates stays; rows without an id stay.
-    Rows that share an id are one document: the one of least digest over all columns stays, one of
-    them if they are equal."""
-    found = jaccard.jaccard_components(docs.select("doc_id", "text"), k=WORDS, num=SIMILAR[0], den=SIMILAR[1])
-    gone = stored(found.filter("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
-    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(*docs.columns)
-    shared = stored(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "shared-ids")
+    """The document of least id of each group of near duplicates stays; rows without an id stay. Rows that share an id
+    and a text are one document, and one of them stays: that of least digest over all columns, any of equal ones. Texts
+    that share an id are documents of their own, told apart by a key of id and text, larger than ids, in the place of the id."""
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    ids = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(text).alias("low"), F.max(text).alias("high"))
+    shared = stored(ids.filter("n > 1").select("doc_id", (F.col("low") != F.col("high")).alias("several")), "shared-ids")
+    key, several = fresh("key", docs.columns), fresh("several", docs.columns)
     if shared.isEmpty():
-        return kept
+        keyed = docs.select("*", F.col("doc_id").alias(key), F.lit(None).cast("boolean").alias(several))
+    else:
+        side = shared.select(F.col("doc_id").alias(f"{key}_id"), F.col("several").alias(several))
+        both = docs.join(F.broadcast(side) if side.count() <= BROADCAST_ROWS else side, F.col("doc_id") == F.col(f"{key}_id"), "left")
+        own = F.when(F.col(several), F.lit(1 << 62) + F.pmod(F.xxhash64("doc_id", text), F.lit(1 << 61))).otherwise(F.col("doc_id"))
+        keyed = both.select(*docs.columns, own.alias(key), several)
+    found = jaccard.jaccard_components(keyed.select(F.col(key).alias("doc_id"), "text"), k=WORDS, num=SIMILAR[0], den=SIMILAR[1])
+    gone = stored(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct(), "near-duplicates")
+    kept = keyed.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, key, "left_anti")
+    if shared.isEmpty():
+        return kept.select(*docs.columns)
     digest = F.sha2(F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"}), 256)
-    several = kept.join(shared, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(digest.alias("d"), F.struct(*docs.columns).alias("whole"))).alias("least"))
-    return kept.join(shared, "doc_id", "left_anti").select(*docs.columns).unionByName(several.select("least.whole.*"))
+    one = kept.filter(F.col(several).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*docs.columns), digest).alias("least"))
+    return kept.filter(F.col(several).isNull()).select(*docs.columns).unionByName(one.select("least.*"))
 
 
 def _secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
