@@ -503,8 +503,8 @@ def test_pipeline_stages_on_awkward_tables(spark, awkward, empty, tmp_path):
     again = pipeline._near_duplicates(spark, docs.repartition(5), "")
     assert sorted(map(str, kept.collect())) == sorted(map(str, again.collect()))
     assert kept.filter("doc_id IS NULL").count() == 2
-    maps = pipeline._near_duplicates(spark, docs.withColumn("m", F.create_map(F.lit("a"), F.col("doc_id"))), "")
-    assert maps.count() == kept.count() and maps.columns[-1] == "m"
+    maps = pipeline._near_duplicates(spark, docs.withColumn("a_map", F.create_map(F.lit("a"), F.col("doc_id"))), "")
+    assert maps.count() == kept.count() and maps.columns[-1] == "a_map"
     masked = pipeline._secrets(spark, docs, "")
     assert masked.filter("contains(text, 'abcdef123456')").count() == 0 and masked.count() == 10
 
