@@ -14,10 +14,10 @@ import os
 import re
 import sqlite3
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from xml.sax.saxutils import escape, quoteattr
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtrace.functions.timestamps import SQL_TYPES, parse_timestamp, rfc3339, type_of_sql
@@ -219,16 +219,23 @@ def parse_refs(cell: str | None) -> list[tuple[str, str, dict | None]]:
     return out
 
 
-def read_csv(spark: SparkSession, path: str, strict: bool = False, date_format: str | None = None) -> OCLog:
-    """Rows of events, O2O relations (activity o2o) and object attributes alone (no activity).
-    strict: bad cells and unknown O2O ends fail; else they are passed over."""
-    raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
-    ot = [c for c in raw.columns if c.lower().startswith("ot:")]
-    ea = [c for c in raw.columns if c.lower().startswith("ea:")]
-    raw = raw.toDF(*[{"id": "id", "activity": "activity", "timestamp": "timestamp"}.get(c.lower(), c) for c in raw.columns])
+_REFS = "array<struct<id:string,qualifier:string,attrs:map<string,string>>>"
+
+
+def plain_refs(cell: Column, strict: bool = False) -> Column:
+    """References of a cell without attributes, as a column: no Python is called for them. A cell with a reference
+    that has no id is an error, or passed over."""
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    pieces = F.filter(F.transform(F.split(cell, "/"), strip), lambda p: p != "")
+    part = lambda p, k: strip(F.coalesce(F.get(F.split(p, "#", 2), k), F.lit("")))
+    refs = F.transform(pieces, lambda p: F.struct(part(p, 0).alias("id"), part(p, 1).alias("qualifier"), F.lit(None).cast("map<string,string>").alias("attrs")))
+    wrong = F.raise_error(F.concat(F.lit("no object id in "), cell)).cast(_REFS) if strict else F.array().cast(_REFS)
+    return F.when(F.exists(refs, lambda r: r["id"] == ""), wrong).otherwise(refs)
 
-    @F.udf("array<struct<id:string,qualifier:string,attrs:map<string,string>>>")
-    def refs(cell):
+
+def _nested_refs(strict: bool):
+    """References of cells with attributes, in Arrow batches."""
+    def refs(cell: str) -> list:
         try:
             return [(i, q, {k: v if isinstance(v, str) else json.dumps(v) for k, v in a.items()} if a else None) for i, q, a in parse_refs(cell)]
         except ValueError:
@@ -236,16 +243,29 @@ def read_csv(spark: SparkSession, path: str, strict: bool = False, date_format:
                 raise
             return []
 
-    cells = F.explode(F.array(*[F.struct(F.lit(c[3:]).alias("type"), refs(F.col(f"`{c}`")).alias("refs")) for c in ot])).alias("c") if ot else None
+    return F.udf(refs, _REFS, useArrow=True)
+
+
+def read_csv(spark: SparkSession, path: str, strict: bool = False, date_format: str | None = None) -> OCLog:
+    """Rows of events, O2O relations (activity o2o) and object attributes alone (no activity).
+    strict: bad cells and unknown O2O ends fail; else they are passed over."""
+    raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
+    ot = [c for c in raw.columns if c.lower().startswith("ot:")]
+    ea = [c for c in raw.columns if c.lower().startswith("ea:")]
+    raw = raw.toDF(*[{"id": "id", "activity": "activity", "timestamp": "timestamp"}.get(c.lower(), c) for c in raw.columns])
+
     rows = raw.withColumn("ts", parse_timestamp(F.col("timestamp"), date_format))
     is_o2o = F.lower(F.coalesce("activity", F.lit(""))) == "o2o"
     events = rows.filter(~is_o2o & F.col("activity").isNotNull() & F.col("id").isNotNull())
     ev = events.select(F.trim("id").alias("ev_id"), F.trim("activity").alias("ev_type"), "ts")
-    if cells is None:
+    if not ot:
         none = spark.createDataFrame([], "id string, activity string, ts timestamp, type string, oid string, qualifier string, attrs map<string,string>")
         links = none
     else:
-        links = rows.select("id", "activity", "ts", cells).select("id", "activity", "ts", "c.type", F.explode("c.refs").alias("r")).select("id", "activity", "ts", "type", F.col("r.id").alias("oid"), F.col("r.qualifier").alias("qualifier"), F.col("r.attrs").alias("attrs"))
+        cells = rows.select("id", "activity", "ts", F.explode(F.array(*[F.struct(F.lit(c[3:]).alias("type"), F.col(f"`{c}`").alias("cell")) for c in ot])).alias("c")).select("id", "activity", "ts", "c.*").filter("cell IS NOT NULL")
+        plain = cells.filter(~F.col("cell").rlike(r"[{}]")).withColumn("refs", plain_refs(F.col("cell"), strict))
+        nested = cells.filter(F.col("cell").rlike(r"[{}]")).withColumn("refs", _nested_refs(strict)("cell"))  # attributes as JSON
+        links = plain.unionByName(nested).select("id", "activity", "ts", "type", F.explode("refs").alias("r")).select("id", "activity", "ts", "type", F.col("r.id").alias("oid"), F.col("r.qualifier").alias("qualifier"), F.col("r.attrs").alias("attrs"))
     ob = links.groupBy(F.col("oid").alias("ob_id")).agg(F.min("type").alias("ob_type"))
     is_link = F.lower(F.coalesce("activity", F.lit(""))) == "o2o"
     e2o = links.filter(~is_link & F.col("activity").isNotNull() & F.col("id").isNotNull()).select(F.trim("id").alias("ev_id"), F.col("oid").alias("ob_id"), "qualifier")
@@ -431,6 +451,24 @@ def flat_frames(log: OCLog) -> dict[str, DataFrame]:
     return {"objects": log.ob.join(start, "ob_id", "left"), "events": log.ev.join(ea, "ev_id", "left"), "e2o": log.e2o_raw, "o2o": objects.o2o_of(log), "object_changes": log.obj_attr.join(log.ob, "ob_id")}
 
 
+class Names:
+    """Clean names of tables or columns, one for each key: letters, digits and underscores, with a number where two keys
+    would share one, in any case."""
+
+    def __init__(self, taken: Iterable[str] = ()) -> None:
+        self.taken, self.known = {t.lower() for t in taken}, {}
+
+    def __call__(self, *key: str) -> str:
+        if key not in self.known:
+            clean = name = re.sub(r"\W", "_", "_".join(key))
+            k = 2
+            while name.lower() in self.taken:
+                name, k = f"{clean}_{k}", k + 1
+            self.taken.add(name.lower())
+            self.known[key] = name
+        return self.known[key]
+
+
 def write_graph(log: OCLog, path: str, typed: bool = False) -> str:
     """CSV files of nodes and relations for a property-graph store, and the DDL that loads them."""
     ddl = []
@@ -445,20 +483,20 @@ def write_graph(log: OCLog, path: str, typed: bool = False) -> str:
         put("E2O", log.e2o, "CREATE REL TABLE E2O(FROM Event TO Object, qualifier STRING);")
         put("O2O", log.o2o, "CREATE REL TABLE O2O(FROM Object TO Object, qualifier STRING);")
     else:
-        known = _declared(log)
-        clean = lambda t: re.sub(r"\W", "_", t)
+        known, name = _declared(log), Names()
         for t, attrs in sorted(known["event"].items()):
-            cols = "".join(f", {clean(n)} STRING" for n in sorted(attrs))
-            put(f"Event_{clean(t)}", objects.event_table(log, t, sorted(attrs)), f"CREATE NODE TABLE Event_{clean(t)}(id STRING, time TIMESTAMP{cols}, PRIMARY KEY(id));")
+            columns = Names(("id", "time"))
+            cols = "".join(f", {columns(n)} STRING" for n in sorted(attrs))
+            put(name("Event", t), objects.event_table(log, t, sorted(attrs)), f"CREATE NODE TABLE {name('Event', t)}(id STRING, time TIMESTAMP{cols}, PRIMARY KEY(id));")
         for t in sorted(known["object"]):
             own = objects.objects_of_type(log, t).select("ob_id")
-            put(f"Object_{clean(t)}", own, f"CREATE NODE TABLE Object_{clean(t)}(id STRING, PRIMARY KEY(id));")
+            put(name("Object", t), own, f"CREATE NODE TABLE {name('Object', t)}(id STRING, PRIMARY KEY(id));")
             change = log.obj_attr.join(own, "ob_id", "left_semi").select(F.concat_ws("|", "ob_id", "name", rfc3339(F.col("ts"))).alias("id"), "ob_id", "name", "value", "ts")
-            put(f"Change_{clean(t)}", change, f"CREATE NODE TABLE Change_{clean(t)}(id STRING, object STRING, name STRING, value STRING, time TIMESTAMP, PRIMARY KEY(id));")
+            put(name("Change", t), change, f"CREATE NODE TABLE {name('Change', t)}(id STRING, object STRING, name STRING, value STRING, time TIMESTAMP, PRIMARY KEY(id));")
         for r in log.e2o_raw.select("ev_type", "ob_type").distinct().orderBy("ev_type", "ob_type").collect():
             a, b = r
-            put(f"E2O_{clean(a)}_{clean(b)}", objects.e2o_of(log, a, b).select("ev_id", "ob_id", "qualifier"), f"CREATE REL TABLE E2O_{clean(a)}_{clean(b)}(FROM Event_{clean(a)} TO Object_{clean(b)}, qualifier STRING);")
+            put(name("E2O", a, b), objects.e2o_of(log, a, b).select("ev_id", "ob_id", "qualifier"), f"CREATE REL TABLE {name('E2O', a, b)}(FROM {name('Event', a)} TO {name('Object', b)}, qualifier STRING);")
         for r in objects.o2o_of(log).select("src_type", "tgt_type").distinct().orderBy("src_type", "tgt_type").collect():
             a, b = r
-            put(f"O2O_{clean(a)}_{clean(b)}", objects.o2o_of(log, a, b).select("src_id", "tgt_id", "qualifier"), f"CREATE REL TABLE O2O_{clean(a)}_{clean(b)}(FROM Object_{clean(a)} TO Object_{clean(b)}, qualifier STRING);")
+            put(name("O2O", a, b), objects.o2o_of(log, a, b).select("src_id", "tgt_id", "qualifier"), f"CREATE REL TABLE {name('O2O', a, b)}(FROM {name('Object', a)} TO {name('Object', b)}, qualifier STRING);")
     return "\n".join(ddl)
