@@ -29,8 +29,8 @@ from loomtrace.operators.lives import neighbours
 
 TURNS = "conv_id long, turn long, role string, text string"
 EDGES = "conv_id long, source string, target string, count long, words long, bucket int"
-#: buckets of conversations; files in a batch; words from which a text is long.
-DEFAULTS = {"buckets": 16, "files_per_batch": 1000, "long_words": 60}
+#: buckets of conversations; files that a batch writes for each at most; files it reads; words from which a text is long.
+DEFAULTS = {"buckets": 16, "files_per_bucket": 1, "files_per_batch": 1000, "long_words": 60}
 
 
 def words(text: Column) -> Column:
@@ -58,6 +58,11 @@ def edges_of(events: DataFrame) -> DataFrame:
     return inner.unionByName(last).groupBy("conv_id", "source", "target").agg(F.count("*").alias("count"), F.sum("words").alias("words"))
 
 
+def dealt(df: DataFrame, config: dict[str, Any]) -> DataFrame:
+    """df by bucket, so that tasks do not write a file each for every bucket; rows of one conversation may be split."""
+    return df.repartition("bucket", F.pmod(F.xxhash64(*[c for c in df.columns if c != "bucket"]), F.lit(config["files_per_bucket"])))
+
+
 def replace(df: DataFrame, path: str, *partitions: str) -> None:
     """Replace the partitions of path that df has rows for."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
@@ -71,7 +76,7 @@ def run(spark: SparkSession, source: str, output: str, checkpoint: str, config:
     def batch(turns: DataFrame, number: int) -> None:
         spark = turns.sparkSession
         placed = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
-        replace(events_of(turns.filter(placed), config).withColumn("batch", F.lit(number)), f"{output}/events", "bucket", "batch")
+        replace(dealt(events_of(turns.filter(placed), config), config).withColumn("batch", F.lit(number)), f"{output}/events", "bucket", "batch")
         replace(turns.filter(~placed).withColumn("batch", F.lit(number)), f"{output}/unplaced", "batch")
         schema = events_of(turns, config).withColumn("batch", F.lit(number)).schema
         events = spark.read.schema(schema).parquet(f"{output}/events")
@@ -80,7 +85,7 @@ def run(spark: SparkSession, source: str, output: str, checkpoint: str, config:
         if touched:
             known = events.filter(F.col("bucket").isin(*touched) & (F.col("batch") <= number))
             in_bucket = F.pmod(F.xxhash64("conv_id"), F.lit(config["buckets"])).cast("int").alias("bucket")
-            replace(edges_of(known).select("*", in_bucket).repartition("bucket"), f"{output}/edges", "bucket")
+            replace(dealt(edges_of(known).select("*", in_bucket), config), f"{output}/edges", "bucket")
         unplaced = spark.read.schema(turns.withColumn("batch", F.lit(number)).schema).parquet(f"{output}/unplaced").filter(F.col("batch") == number).count()
         said = [(number, sum(r["n"] for r in own), unplaced, len(touched))]
         replace(spark.createDataFrame(said, "batch long, events long, unplaced long, buckets long").coalesce(1), f"{output}/runs", "batch")

@@ -77,6 +77,21 @@ def test_dialog_flow_touches_only_its_buckets(spark, tmp_path):
     assert len({p.parent for p in set(before) - set(files())}) == 1
 
 
+def test_dialog_flow_writes_few_files(spark, tmp_path):
+    """Many small input files and one long conversation: a file for each bucket and batch, or as many as are allowed."""
+    source = str(tmp_path / "in")
+    turns = [(7 if k % 3 == 0 else k, k, "user", f"turn {k}") for k in range(300)]
+    spark.createDataFrame(turns, dialog_flow.TURNS).repartition(8).write.parquet(source)
+    got = []
+    for files in (1, 3):
+        out = tmp_path / f"out{files}"
+        got.append(rows(dialog_flow.run(spark, source, str(out), str(tmp_path / f"mark{files}"), {"buckets": 4, "files_per_bucket": files})))
+        for name in ("events", "edges"):
+            held = [len(list(b.rglob("part-*"))) for b in (out / name).iterdir() if b.is_dir()]
+            assert len(held) == 4 and all(1 <= n <= files for n in held)
+    assert got[0] == got[1] and sum(r[3] for r in got[0] if r[0] == 7) == 102
+
+
 def test_dialog_flow_empty_input(spark, tmp_path):
     source, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
     add(spark, source, [])
