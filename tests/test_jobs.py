@@ -154,3 +154,16 @@ def test_command_line(spark, tmp_path):
     assert run.returncode == 0, run.stderr[-2000:]
     assert "read 5 placed and 2 unplaced turns" in run.stderr
     assert {r[0] for r in rows(spark.read.schema(dialog_flow.EDGES).parquet(f"{tmp_path}/out/edges").withColumn("x", F.lit(0)))} == {1, 2, 5}
+
+
+@pytest.mark.skipif(not os.path.isdir(D), reason="no tables")
+def test_command_line_of_performance(spark, tmp_path):
+    (tmp_path / "c.json").write_text(json.dumps({"patience_hours": 24}))
+    run = subprocess.run([sys.executable, "-m", "jobs.trade_performance", "--input", D, "--output", f"{tmp_path}/out", "--config", f"{tmp_path}/c.json"], cwd=ROOT, capture_output=True, text=True, timeout=240)
+    assert run.returncode == 0, run.stderr[-2000:]
+    assert f"read {D}" in run.stderr and "rows of" in run.stderr
+    out = spark.read.schema(trade_performance.SCHEMA).parquet(f"{tmp_path}/out")
+    assert out.count() > 0 and {f.name.split("=")[0] for f in (tmp_path / "out").iterdir() if f.is_dir()} == {"month"}
+    patient = trade_performance.run(spark, D, str(tmp_path / "patient"))
+    total = lambda df: df.agg(F.sum("long_waits")).first()[0]
+    assert total(out) > total(patient)
