@@ -287,3 +287,34 @@ def test_discovery_queries_set_no_activities(spark, trade, monkeypatch):
     options = [x for args in seen for x in args if isinstance(x, declare.Options)]
     assert len(seen) == 4 and len(options) == 3 and all(o.activities is None for o in options)
     assert seen[-1] == (("AS", "EF", "EP"), True)
+
+
+def _nodes(plan):
+    """Names of a plan's nodes, down to what is kept."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        plan = plan.inputPlan()
+    below = plan.children()
+    return [plan.nodeName(), *(x for k in range(below.size()) for x in _nodes(below.apply(k)))]
+
+
+def test_kept_pairs_are_not_dealt_again(spark):
+    """Counts and joins by object and activity take the kept pairs as they lie; before, each dealt them anew."""
+    with declare.Index(micro(spark, FIXTURE)) as index:
+        assert index.degree  # fills what is kept
+        seen = index.pairs.groupBy("ob_id", "ev_type").count()
+        asked = index.events.selectExpr("concat('e', length(ev_id)) AS ev_id", "concat('o', length(ev_id)) AS ob_id", "concat('s', length(ev_id)) AS ev_type")
+        for df, sides in ((seen, 0), (asked.join(index.pairs.hint("merge"), ["ob_id", "ev_type"]), 1), (asked.select("ev_id").join(index.events.hint("merge"), "ev_id"), 1)):
+            assert _nodes(df._jdf.queryExecution().executedPlan()).count("Exchange") <= sides
+
+
+def test_an_index_of_arcs_deals_what_they_look_at(spark):
+    """Relations and objects by steps that no arc asks for stay out; with DF any event may be the nearest."""
+    log = micro(spark, FIXTURE, ["c1"], [("o1", "i1"), ("o2", "i2")])
+    arcs = [Arc("place", "ship", "EF", Label.of(any=["o>i"])), Arc("pay", "ship", "AS", Label.of(each=["o"]))]
+    with declare.index_for(log, arcs) as index:
+        rows = {r["ev_id"]: (len(r["rel"]), len(r["via"])) for r in index.events.collect()}
+        kinds = {(r["ev_type"], r["ob_type"]) for r in index.pairs.collect()}
+    assert rows == {"e0": (0, 1), "e1": (0, 1), "e2": (1, 0), "e3": (2, 0), "e4": (1, 0), "e5": (0, 1), "e6": (2, 0)}
+    assert kinds == {("ship", "i"), ("ship", "o")}
+    got = {r["arc"]: (r["total"], r["violating"]) for r in declare.check(log, [*arcs, Arc("place", "pay", "DF", Label.of(each=["o"]))]).collect()}
+    assert got == {k: brute(FIXTURE, a, {("o1", "i1"), ("o2", "i2")}) for k, a in enumerate([*arcs, Arc("place", "pay", "DF", Label.of(each=["o"]))])}
