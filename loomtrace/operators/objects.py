@@ -218,7 +218,8 @@ def profile(log: OCLog) -> DataFrame:
     """(ev_type, ob_type, always_present, at_most_one_event_per_object, low, high): facts and involvements in one."""
     n = log.ev.groupBy("ev_type").agg(F.count("*").alias("events"))
     carry = per_event_counts(log).groupBy("ev_type", "ob_type").agg(F.count("*").alias("carrying"), F.min("n").alias("low"), F.max("n").alias("high"))
-    once = log.e2o_d.groupBy("ev_type", "ob_type", "ob_id").agg(F.count("*").alias("k")).groupBy("ev_type", "ob_type").agg(F.max("k").alias("k"))
+    # counted by event id, which is never null, so that both sides read the same columns and share what is dealt
+    once = log.e2o_d.groupBy("ev_type", "ob_type", "ob_id").agg(F.count("ev_id").alias("k")).groupBy("ev_type", "ob_type").agg(F.max("k").alias("k"))
     return carry.join(n, "ev_type").join(once, ["ev_type", "ob_type"]).select(
         "ev_type", "ob_type", (F.col("carrying") == F.col("events")).alias("always_present"), (F.col("k") <= 1).alias("at_most_one_event_per_object"), "low", "high")
 
