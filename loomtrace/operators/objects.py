@@ -268,13 +268,12 @@ def object_dfg(log: OCLog) -> DataFrame:
 
 
 def object_dfg_nodes(log: OCLog) -> DataFrame:
-    """(ob_type, activity, count, starts, ends) for every type."""
-    at = F.struct(*ordered())
-    counts = log.e2o_raw.groupBy("ob_type", F.col("ev_type").alias("activity")).agg(F.count("*").alias("count"))
-    ends = log.e2o_raw.groupBy("ob_type", "ob_id").agg(F.min_by("ev_type", at).alias("s"), F.max_by("ev_type", at).alias("e"))
-    one = lambda c, name: ends.groupBy("ob_type", F.col(c).alias("activity")).agg(F.count("*").alias(name))
-    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return counts.join(one("s", "starts"), ["ob_type", "activity"], "left").join(one("e", "ends"), ["ob_type", "activity"], "left").select("ob_type", "activity", "count", none("starts"), none("ends"))
+    """(ob_type, activity, count, starts, ends) for every type; one pass over the relations."""
+    at = F.struct(*ordered(), "ev_type")
+    per = log.e2o_raw.groupBy("ob_type", "ob_id", F.col("ev_type").alias("activity")).agg(F.count("*").alias("n"), F.min(at).alias("lo"), F.max(at).alias("hi"))
+    life = W.partitionBy("ob_type", "ob_id")  # a row for each activity
+    ends = per.select("ob_type", "activity", "n", (F.col("lo") == F.min("lo").over(life)).alias("first"), (F.col("hi") == F.max("hi").over(life)).alias("last"))
+    return ends.groupBy("ob_type", "activity").agg(F.sum("n").alias("count"), F.count_if("first").alias("starts"), F.count_if("last").alias("ends"))
 
 
 def flatten(log: OCLog, ob_type: str) -> DataFrame:
