@@ -334,13 +334,14 @@ def sojourn_times(log: OCLog, top_k: int | None = None) -> DataFrame:
 
 def functional_maps(log: OCLog, least: float = 0.95) -> DataFrame:
     """(first, second, orientation, total, covered): O2O type pairs where each object of first has at
-    most one partner, and at least the share least of them has one; both orientations."""
-    o = o2o_of(log).select("src_id", "tgt_id", "src_type", "tgt_type").distinct()
+    most one partner, and at least the share least of them has one; both orientations. An object has several
+    partners if the least and largest 64-bit hash of theirs differ, so links need not be made distinct."""
+    o = o2o_of(log)
     n = log.ob.groupBy(F.col("ob_type").alias("first")).agg(F.count("*").alias("total"))
 
     def one(a: str, b: str, name: str) -> DataFrame:
-        per = o.groupBy(F.col(f"{a}_id").alias("x"), F.col(f"{a}_type").alias("first"), F.col(f"{b}_type").alias("second")).agg(F.count("*").alias("k"))
-        return per.groupBy("first", "second").agg(F.max("k").alias("k"), F.count("*").alias("covered")).filter("k = 1").select("first", "second", F.lit(name).alias("orientation"), "covered")
+        per = o.groupBy(F.col(f"{a}_id").alias("x"), F.col(f"{a}_type").alias("first"), F.col(f"{b}_type").alias("second")).agg(F.min(F.xxhash64(f"{b}_id")).alias("lo"), F.max(F.xxhash64(f"{b}_id")).alias("hi"))
+        return per.groupBy("first", "second").agg(F.count_if(F.col("lo") != F.col("hi")).alias("several"), F.count("*").alias("covered")).filter("several = 0").select("first", "second", F.lit(name).alias("orientation"), "covered")
 
     return one("src", "tgt", "forward").unionByName(one("tgt", "src", "reverse")).join(n, "first").filter(F.col("covered") >= least * F.col("total")).select(
         "first", "second", "orientation", "total", "covered")
