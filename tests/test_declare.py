@@ -292,7 +292,7 @@ def test_discovery_queries_set_no_activities(spark, trade, monkeypatch):
 def _nodes(plan):
     """Names of a plan's nodes, down to what is kept."""
     if plan.nodeName() == "AdaptiveSparkPlan":
-        plan = plan.inputPlan()
+        plan = plan.initialPlan()
     below = plan.children()
     return [plan.nodeName(), *(x for k in range(below.size()) for x in _nodes(below.apply(k)))]
 
